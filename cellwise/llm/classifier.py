@@ -1,15 +1,16 @@
 """Operator 8: a compression classifier of text quality.
 
-Two zstandard dictionaries are made, one from texts labelled good and one from texts labelled bad.
-A text is compressed with each; the difference of the two sizes, divided by their sum, says which
-kind it is more like. A logistic curve fitted on labelled texts that made no dictionary turns the
-difference into a probability.
+Two zstandard dictionaries are trained, one on texts labelled good and one on texts labelled bad.
+A text is compressed with each, block by block so that long texts keep using the dictionary; the
+difference of the two sizes, divided by the text's size, says which kind it is more like. A logistic
+curve fitted on labelled texts that made no dictionary, shifted by the log odds of all training
+labels, turns the difference into a probability.
 
 Labels are read only from rows whose crc32(doc_id as text) mod 3 is not 1. The model is fitted on a
 bounded sample of those (``PER_CLASS`` documents of each label, ``SAMPLE_BYTES`` of text at most from
 each, chosen by a hash of the id); every document is scored over its whole text. Null texts count as
 empty. Empty texts get the score of a difference of zero. Rows with a null doc_id are scored and
-count as not held out. When a label is missing altogether, every score is 0.5.
+count as not held out. When there is too little text of a label to train on, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import column, only
 
-PER_CLASS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 600, 32_768, 256 << 10, 3
+PER_CLASS, SAMPLE_BYTES, DICT_BYTES, LEVEL, BLOCK = 800, 16_384, 112 << 10, 3, 1024
 
 
 @dataclass
@@ -38,14 +39,23 @@ class CompressionModel:
     offset: float
 
     def packers(self):
-        return [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (self.good, self.bad)]
+        made = []
+        for data in (self.good, self.bad):
+            dictionary = zstandard.ZstdCompressionDict(data)
+            dictionary.precompute_compress(level=LEVEL)
+            made.append(zstandard.ZstdCompressor(dict_data=dictionary, level=LEVEL, write_content_size=False))
+        return made
 
     def difference(self, text: bytes, packers=None) -> float:
-        """(bytes with the bad dictionary - bytes with the good one) / their sum; 0 for no text."""
+        """(bytes with the bad dictionary - bytes with the good one) / bytes of the text; 0 for no text."""
         if not text or not (self.good and self.bad):
             return 0.0
-        good, bad = (len(p.compress(text)) for p in packers or self.packers())
-        return (bad - good) / (bad + good)
+        good, bad = packers or self.packers()
+        total = 0
+        for k in range(0, len(text), BLOCK):
+            block = text[k : k + BLOCK]
+            total += len(bad.compress(block)) - len(good.compress(block))
+        return total / len(text)
 
     def score(self, difference: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * difference + self.offset))))
@@ -84,18 +94,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     texts = {q: [r.text.encode()[:SAMPLE_BYTES] for r in rows if r.quality == q] for q in (0, 1)}
-    if not texts[0] or not texts[1]:
-        return CompressionModel(b"", b"", 0.0, 0.0)
     made = {q: t[0::2] or t for q, t in texts.items()}
-    # Equal amounts of text on both sides, each text contributing from its start.
-    size = min(DICT_BYTES, *(sum(map(len, t)) for t in made.values()))
-    dictionaries = {q: b"\n".join(x[: max(256, size // len(t))] for x in t)[-size:] for q, t in made.items()}
-    model = CompressionModel(dictionaries[1], dictionaries[0], 0.0, 0.0)
+    try:
+        good, bad = (zstandard.train_dictionary(DICT_BYTES, [x[k : k + BLOCK] for x in made[q] for k in range(0, len(x), BLOCK)]).as_bytes() for q in (1, 0))
+    except (zstandard.ZstdError, ValueError):  # too little text of a kind
+        return CompressionModel(b"", b"", 0.0, 0.0)
+    model = CompressionModel(good, bad, 0.0, 0.0)
     rest = {q: t[1::2] or t for q, t in texts.items()}
     packers = model.packers()
     x = np.array([model.difference(t, packers) for q in (0, 1) for t in rest[q]])
     y = np.array([q for q in (0, 1) for _ in rest[q]])
     model.slope, model.offset = _fit_curve(x, y)
+    share = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
+    model.offset += math.log(share[1] / share[0])
     return model
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .classifier import fit, score
 from .common import table
+from .licenses import scan
 from .packing import pack
+from .quality import quality_rules
 from .token_files import token_files
 from .warc import warc_round_trip
 
@@ -20,6 +22,10 @@ def op3_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_best_two_fit(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -33,5 +39,9 @@ def op9_warc(spark, sf_dir):
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_best_two_fit, op8_compression_quality, op9_warc)}
+def op10_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_license_scan, op6_best_two_fit, op8_compression_quality, op9_warc, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
