@@ -1,7 +1,7 @@
 """Operator 4: licence scans with ordered signature rules, in DataFrame functions only.
 
 A text is normalised to its words, each between single spaces (`` w1  w2 ``). Rules are regular
-expressions over words, gated by a keyword that the text must contain. A detection inside a longer
+expressions over words, gated by a keyword: the longest plain text that their matches must contain. A detection inside a longer
 one, or equal to one of a rule that comes first, is suppressed; detections that overlap in part stay.
 The rules are written as licence names and the phrasings that cite them.
 
@@ -11,6 +11,10 @@ score of 0. Rows that repeat a doc_id each get a row. An empty table gives no ro
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,49 +23,49 @@ from .common import only
 #: Fixed values of the contract: phrase -> label.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label -> (keyword, regexes of names; words are separated by one space here).
-NAMES: dict[str, tuple[str, list[str]]] = {
-    "gpl": ("general public", ["gnu general public licen[cs]e", "gnu general public licen[cs]e (?:version|v) ?[123](?: 0)?(?: or (?:any )?later(?: version)?)?"]),
-    "gpl-2.0": ("2", ["gpl 2 0(?: only| or later)?", "gplv2", "gnu gpl (?:version|v) ?2"]),
-    "gpl-3.0": ("3", ["gpl 3 0(?: only| or later)?", "gplv3", "gnu gpl (?:version|v) ?3"]),
-    "lgpl": ("l", ["gnu (?:lesser|library) general public licen[cs]e", "lgpl 2 1(?: only| or later)?", "lgpl 3 0(?: only| or later)?", "lgplv[23]"]),
-    "agpl": ("a", ["gnu affero general public licen[cs]e", "agpl 3 0(?: only| or later)?", "agplv3"]),
-    "gfdl": ("f", ["gnu free documentation licen[cs]e", "gfdl 1 [123]"]),
-    "apache": ("apache", ["apache licen[cs]e", "apache software licen[cs]e", "apache (?:licen[cs]e )?(?:version )?1 1"]),
-    "apache-2.0": ("apache", ["apache 2 0", "apache licen[cs]e (?:version )?2 0", "asl 2 0"]),
-    "mit": ("mit", ["(?:the )?mit licen[cs]e", "mit x11 licen[cs]e", "mit no attribution", "expat licen[cs]e"]),
-    "bsd": ("bsd", ["(?:the )?bsd licen[cs]e", "berkeley software distribution", "bsd style licen[cs]e"]),
-    "bsd-2-clause": ("bsd", ["bsd 2 clause(?: licen[cs]e)?", "simplified bsd licen[cs]e", "freebsd licen[cs]e"]),
-    "bsd-3-clause": ("bsd", ["bsd 3 clause(?: licen[cs]e)?", "(?:new|revised|modified) bsd licen[cs]e"]),
-    "isc": ("isc", ["isc licen[cs]e", "internet systems consortium licen[cs]e"]),
-    "mpl": ("m", ["mozilla public licen[cs]e(?: (?:version )?[12] [01])?", "mpl [12] [01]"]),
-    "epl": ("e", ["eclipse public licen[cs]e(?: (?:version |v )?[12] 0)?", "epl [12] 0"]),
-    "cddl": ("c", ["common development and distribution licen[cs]e", "cddl 1 [01]"]),
-    "eupl": ("eu", ["european union public licen[cs]e", "eupl 1 [012]"]),
-    "artistic": ("artistic", ["artistic licen[cs]e(?: [12] 0)?"]),
-    "bsl": ("bo", ["boost software licen[cs]e(?: (?:version )?1 0)?"]),
-    "busl": ("business", ["business source licen[cs]e(?: 1 1)?"]),
-    "zlib": ("zlib", ["zlib licen[cs]e", "zlib libpng licen[cs]e"]),
-    "unlicense": ("unlicen", ["(?:the )?unlicen[cs]e"]),
-    "wtfpl": ("wtfpl", ["wtfpl(?: version 2)?"]),
-    "cc0": ("cc0", ["cc0(?: 1 0)?(?: universal)?"]),
-    "cc-by": ("by", ["cc by", "cc by [1234] [05]", "creative commons attribution(?: [1234] [05])?"]),
-    "cc-by-sa": ("sa", ["cc by sa(?: [1234] [05])?", "creative commons attribution share ?alike(?: [1234] [05])?"]),
-    "cc-by-nc": ("nc", ["cc by nc(?: [1234] [05])?", "creative commons attribution non ?commercial(?: [1234] [05])?"]),
-    "cc-by-nd": ("nd", ["cc by nd(?: [1234] [05])?", "creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1234] [05])?"]),
-    "cc-by-nc-sa": ("nc", ["cc by nc sa(?: [1234] [05])?"]),
-    "cc-by-nc-nd": ("nc", ["cc by nc nd(?: [1234] [05])?"]),
-    "odbl": ("o", ["open (?:data commons open )?database licen[cs]e", "odbl(?: 1 0)?"]),
-    "ofl": ("o", ["sil open font licen[cs]e(?: (?:version )?1 1)?", "ofl 1 1"]),
-    "psf": ("p", ["python software foundation licen[cs]e(?: version 2)?", "psf 2 0"]),
-    "ruby": ("ruby", ["ruby licen[cs]e"]),
-    "openssl": ("openssl", ["openssl licen[cs]e", "original ssleay licen[cs]e"]),
-    "postgresql": ("postgresql", ["postgresql licen[cs]e"]),
-    "x11": ("x11", ["x11 licen[cs]e"]),
-    "cecill": ("cecill", ["cecill(?: [12] [01])?", "cecill [bc]"]),
-    "sspl": ("s", ["server side public licen[cs]e", "sspl 1 0"]),
-    "elastic": ("elastic", ["elastic licen[cs]e(?: 2 0)?"]),
-    "ms-pl": ("microsoft", ["microsoft public licen[cs]e", "microsoft reciprocal licen[cs]e"]),
+#: label -> regexes of names; words are separated by one space here.
+NAMES: dict[str, list[str]] = {
+    "gpl": ["gnu general public licen[cs]e", "gnu general public licen[cs]e (?:version|v) ?[123](?: 0)?(?: or (?:any )?later(?: version)?)?"],
+    "gpl-2.0": ["gpl 2 0(?: only| or later)?", "gplv2", "gnu gpl (?:version|v) ?2"],
+    "gpl-3.0": ["gpl 3 0(?: only| or later)?", "gplv3", "gnu gpl (?:version|v) ?3"],
+    "lgpl": ["gnu (?:lesser|library) general public licen[cs]e", "lgpl 2 1(?: only| or later)?", "lgpl 3 0(?: only| or later)?", "lgplv[23]"],
+    "agpl": ["gnu affero general public licen[cs]e", "agpl 3 0(?: only| or later)?", "agplv3"],
+    "gfdl": ["gnu free documentation licen[cs]e", "gfdl 1 [123]"],
+    "apache": ["apache licen[cs]e", "apache software licen[cs]e", "apache (?:licen[cs]e )?(?:version )?1 1"],
+    "apache-2.0": ["apache 2 0", "apache licen[cs]e (?:version )?2 0", "asl 2 0"],
+    "mit": ["(?:the )?mit licen[cs]e", "mit x11 licen[cs]e", "mit no attribution", "expat licen[cs]e"],
+    "bsd": ["(?:the )?bsd licen[cs]e", "berkeley software distribution", "bsd style licen[cs]e"],
+    "bsd-2-clause": ["bsd 2 clause(?: licen[cs]e)?", "simplified bsd licen[cs]e", "freebsd licen[cs]e"],
+    "bsd-3-clause": ["bsd 3 clause(?: licen[cs]e)?", "(?:new|revised|modified) bsd licen[cs]e"],
+    "isc": ["isc licen[cs]e", "internet systems consortium licen[cs]e"],
+    "mpl": ["mozilla public licen[cs]e(?: (?:version )?[12] [01])?", "mpl [12] [01]"],
+    "epl": ["eclipse public licen[cs]e(?: (?:version |v )?[12] 0)?", "epl [12] 0"],
+    "cddl": ["common development and distribution licen[cs]e", "cddl 1 [01]"],
+    "eupl": ["european union public licen[cs]e", "eupl 1 [012]"],
+    "artistic": ["artistic licen[cs]e(?: [12] 0)?"],
+    "bsl": ["boost software licen[cs]e(?: (?:version )?1 0)?"],
+    "busl": ["business source licen[cs]e(?: 1 1)?"],
+    "zlib": ["zlib licen[cs]e", "zlib libpng licen[cs]e"],
+    "unlicense": ["(?:the )?unlicen[cs]e"],
+    "wtfpl": ["wtfpl(?: version 2)?"],
+    "cc0": ["cc0(?: 1 0)?(?: universal)?"],
+    "cc-by": ["cc by", "cc by [1234] [05]", "creative commons attribution(?: [1234] [05])?"],
+    "cc-by-sa": ["cc by sa(?: [1234] [05])?", "creative commons attribution share ?alike(?: [1234] [05])?"],
+    "cc-by-nc": ["cc by nc(?: [1234] [05])?", "creative commons attribution non ?commercial(?: [1234] [05])?"],
+    "cc-by-nd": ["cc by nd(?: [1234] [05])?", "creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1234] [05])?"],
+    "cc-by-nc-sa": ["cc by nc sa(?: [1234] [05])?"],
+    "cc-by-nc-nd": ["cc by nc nd(?: [1234] [05])?"],
+    "odbl": ["open (?:data commons open )?database licen[cs]e", "odbl(?: 1 0)?"],
+    "ofl": ["sil open font licen[cs]e(?: (?:version )?1 1)?", "ofl 1 1"],
+    "psf": ["python software foundation licen[cs]e(?: version 2)?", "psf 2 0"],
+    "ruby": ["ruby licen[cs]e"],
+    "openssl": ["openssl licen[cs]e", "original ssleay licen[cs]e"],
+    "postgresql": ["postgresql licen[cs]e"],
+    "x11": ["x11 licen[cs]e"],
+    "cecill": ["cecill(?: [12] [01])?", "cecill [bc]"],
+    "sspl": ["server side public licen[cs]e", "sspl 1 0"],
+    "elastic": ["elastic licen[cs]e(?: 2 0)?"],
+    "ms-pl": ["microsoft public licen[cs]e", "microsoft reciprocal licen[cs]e"],
 }
 
 #: Phrasings that cite a name: (regex around it, confidence). The first is the strongest.
@@ -73,48 +77,53 @@ PHRASINGS = [
     ("{}", 0.6),
 ]
 
-#: Clauses that name no licence: (label, keyword, regex, confidence).
+#: Clauses that name no licence: (label, regex, confidence).
 CLAUSES = [
-    ("mit", "hereby granted", "permission is hereby granted free of charge(?: to any person obtaining a copy)?", 0.95),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software", 0.95),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms", 0.95),
-    ("zlib", "as is", "this software is provided as is without any express or implied warranty", 0.9),
-    ("public-domain", "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 0.9),
-    ("public-domain", "public domain", "public domain", 0.5),
-    ("proprietary", "rights reserved", "all rights reserved", 0.5),
-    ("proprietary", "proprietary", "proprietary and confidential", 0.8),
-    ("copyright", "copyright", "copyright(?: c)?(?: by)?(?: (?:19|20)[0-9][0-9])+", 0.5),
-    ("no-warranty", "warrant", "without (?:any )?warrant(?:y|ies)(?: of any kind| or conditions of any kind)?", 0.4),
-    ("no-warranty", "as is", "as is basis", 0.4),
+    ("mit", "permission is hereby granted free of charge(?: to any person obtaining a copy)?", 0.95),
+    ("isc", "permission to use copy modify and or distribute this software", 0.95),
+    ("bsd", "redistribution and use in source and binary forms", 0.95),
+    ("zlib", "this software is provided as is without any express or implied warranty", 0.9),
+    ("public-domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 0.9),
+    ("public-domain", "public domain", 0.5),
+    ("proprietary", "all rights reserved", 0.5),
+    ("proprietary", "proprietary and confidential", 0.8),
+    ("copyright", "copyright(?: c)?(?: by)?(?: (?:19|20)[0-9][0-9])+", 0.5),
+    ("no-warranty", "without (?:any )?warrant(?:y|ies)(?: of any kind| or conditions of any kind)?", 0.4),
+    ("no-warranty", "as is basis", 0.4),
 ]
 
-_LOWER = [F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("abcdefghijklmnopqrstuvwxyz")]
-
 
 def rules() -> list[tuple[int, str, str, str, float]]:
     """All rules in order: (priority, keyword, regex, label, confidence)."""
     found = []
     for around, confidence in PHRASINGS:
-        for label, (keyword, names) in NAMES.items():
+        for label, names in NAMES.items():
             for name in names:
-                found.append((keyword, around.format(f"(?:{name})"), label, confidence))
-    found += [(keyword, regex, label, confidence) for label, keyword, regex, confidence in CLAUSES]
-    # A space of a rule is the two spaces between words of the normalised text.
-    spaced = [(k, f"(?<= )(?:{r.replace(' ?', '(?:  )?').replace(' ', '  ').replace('(?:    )?', '(?:  )?')})(?= )", lab, c) for k, r, lab, c in found]
-    return [(n, k.replace(" ", "  "), r, lab, c) for n, (k, r, lab, c) in enumerate(spaced)]
+                found.append((literal(name), around.format(f"(?:{name})"), label, confidence))
+    found += [(literal(regex), regex, label, confidence) for label, regex, confidence in CLAUSES]
+    # A space of a rule is the two spaces between words of the normalised text; a match takes one on
+    # either side, and beginning with a plain character keeps the search quick.
+    spaced = [(k, f" (?:{r.replace(' ?', '(?:  )?').replace(' ', '  ').replace('(?:    )?', '(?:  )?')}) ", lab, c) for k, r, lab, c in found]
+    return [(n, k[:1] + k[1:].replace(" ", "  "), r, lab, c) for n, (k, r, lab, c) in enumerate(spaced)]
 
 
 def _spaces(of: Column) -> Column:
-    return F.length(of) - F.length(F.translate(of, " ", ""))
+    return F.length(of) - F.length(F.replace(of, F.lit(" "), F.lit("")))
 
 
-#: A text without any of these words holds nothing that a rule can match.
-GATE = "licen[cs]|copyright|copyleft|public  domain|rights  reserved|creative  commons|spdx|warrant|hereby  granted|permission|redistribut|proprietary|as  is|cc  by|cc0|gpl|gfdl|apache|asl|mpl|epl|cddl|eupl|odbl|ofl|psf|berkeley|attribution|bsd|cecill|sspl|wtfpl"
+def literal(regex: str) -> str:
+    """The longest run of plain characters that every match of ``regex`` contains."""
+    while re.search(r"\(\?:[^()]*\)\??", regex):
+        regex = re.sub(r"\(\?:[^()]*\)\??", "|", regex)
+    regex = re.sub(r".\?|\[[^]]*\]", "|", regex)
+    runs = re.split(r"[^a-z0-9 ]", regex)
+    best = max(runs, key=lambda r: len(r.strip()))
+    return (" " if best == runs[0] else "") + best.strip()
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """The contract's columns for every row of ``docs``, and the number of detections kept."""
-    text = F.translate(F.coalesce("text", F.lit("")), *[x for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")])
+    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.trim(F.regexp_replace(text, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "  "))
     rows = only(docs, doc_id="long", text="string").select(
         F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("bare")
@@ -134,8 +143,10 @@ def scan(docs: DataFrame) -> DataFrame:
         keywords.setdefault(rule[1], []).append(rule)
     as_rule = lambda r: F.struct(F.lit(r[0]).alias("priority"), F.lit(r[2]).alias("regex"), F.lit(r[3]).alias("label"), F.lit(r[4]).alias("confidence"))
     groups = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*map(as_rule, own)).alias("rules")) for k, own in keywords.items()])
+    plain = {"licen" if "licen" in k else k.strip() for k in keywords}
+    stems = sorted(k for k in plain if not any(other in k for other in plain - {k}))
     gated = F.when(
-        F.rlike("norm", F.lit(GATE)),
+        reduce(or_, [F.contains("norm", F.lit(k)) for k in stems]),
         F.flatten(F.transform(F.filter(groups, lambda g: F.contains("norm", g["keyword"])), lambda g: F.filter(g["rules"], lambda r: F.regexp_like("norm", r["regex"])))),
     )
     rows = rows.select(
@@ -152,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "at",
         F.col("rule.priority").alias("priority"), F.col("rule.label").alias("label"), F.col("rule.confidence").alias("confidence"),
         _spaces(F.col("part")).alias("spaces"),
-        (_spaces(F.substring_index("part", "\x02", 1)) / 2 + 1).cast("long").alias("length"),
+        (_spaces(F.substring_index("part", "\x02", 1)) / 2).cast("long").alias("length"),
     )
     before = Window.partitionBy("row", "priority").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     spans = parts.withColumn("start", F.floor(F.sum("spaces").over(before) / 2)).withColumn("end", F.col("start") + F.col("length"))

@@ -37,29 +37,30 @@ def base_counts(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANK))) > 0)
     rows = rows.withColumn("words", F.when(F.length("bare") > 0, F.split("bare", "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("lines", lines).withColumn("n_words", F.size("words").cast("long"))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("words") - 3),
-        lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
-    )
+    after = lambda i, k: F.get("words", i + k)
+    hashes = F.slice(F.transform("words", lambda w, i: F.xxhash64(w, after(i, 1), after(i, 2))), 1, F.greatest(F.size("words") - 2, F.lit(1)))
     rows = rows.select(
         "doc_id", "lang", "source", "n_words",
-        F.length(F.translate("text", _BLANK, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") >= 3, F.sort_array(windows)).alias("sorted"),
+        F.when(F.size("words") > 3, hashes).alias("h"),
     )
+    rows = rows.withColumn("ordered", F.sort_array("h"))
+    rows = rows.withColumn("again", F.array_distinct(F.filter("ordered", lambda x, i: x.eqNullSafe(F.get("ordered", i - 1)))))
+    # Few repeated windows: look each up. Many: sort the windows with their places instead.
+    few = F.filter(F.transform("h", lambda x, i: F.when(F.array_contains("again", x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("sorted", F.when(F.size("again") > 16, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     same = lambda j, k: F.get("sorted", j)["h"].eqNullSafe(F.get("sorted", k)["h"])
-    rows = rows.withColumn(
-        "starts",
-        F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda j: same(j, j - 1) | same(j, j + 1)), lambda j: F.get("sorted", j)["i"])),
-    )
+    many = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda j: same(j, j - 1) | same(j, j + 1)), lambda j: F.get("sorted", j)["i"]))
+    rows = rows.withColumn("starts", F.when(F.size("again") > 16, many).when(F.size("again") > 0, few))
     covered = F.aggregate(
-        F.sequence(F.lit(0), F.size("starts") - 1),
+        F.transform("starts", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("starts", k + 1) - x, F.lit(3)))),
         F.lit(0),
-        lambda n, k: n + F.least(F.lit(3), F.coalesce(F.get("starts", k + 1) - F.get("starts", k), F.lit(3))),
+        lambda n, k: n + k,
     )
-    return rows.withColumn("n_repeat_words", F.when(F.size("starts") > 0, covered).otherwise(0).cast("long")).drop("sorted", "starts")
+    return rows.withColumn("n_repeat_words", F.when(F.size("starts") > 0, covered).otherwise(0).cast("long")).drop("h", "ordered", "again", "sorted", "starts")
 
 
 def bucket(value: Column) -> Column:
