@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .classifier import fit, score
 from .common import table
+from .decontaminate import contamination
 from .licenses import scan
 from .packing import pack
 from .quality import quality_rules
+from .simhash import near_duplicates
 from .token_files import token_files
 from .warc import warc_round_trip
 
@@ -26,10 +28,18 @@ def op4_license_scan(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_best_two_fit(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_compression_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -43,5 +53,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_license_scan, op6_best_two_fit, op8_compression_quality, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_license_scan, op5_suffix_decontamination, op6_best_two_fit, op7_simhash, op8_compression_quality, op9_warc, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
