@@ -9,6 +9,8 @@ from .licenses import scan
 from .packing import pack
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_files import token_files
 from .warc import warc_round_trip
 
@@ -20,6 +22,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -53,5 +63,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_license_scan, op5_suffix_decontamination, op6_best_two_fit, op7_simhash, op8_compression_quality, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_files, op4_license_scan, op5_suffix_decontamination, op6_best_two_fit, op7_simhash, op8_compression_quality, op9_warc, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
