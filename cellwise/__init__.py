@@ -1,0 +1 @@
+"""Histogram-centric analytics on Spark DataFrames."""
