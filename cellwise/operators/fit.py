@@ -4,8 +4,6 @@ A histogram has one point a bin, so points may come to the driver; many groups a
 with ``fit_groups``, one group's points to a call.
 """
 
-from __future__ import annotations
-
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -34,28 +32,28 @@ class Model:
     seed: Callable[[np.ndarray, np.ndarray], tuple[float, ...]] | None = None
 
     @staticmethod
-    def gaussian() -> Model:
+    def gaussian() -> "Model":
         return Model(_gaussian, ("constant", "mean", "sigma"), (1.0, 0.0, 1.0), seed=gaussian_seed)
 
     @staticmethod
-    def exponential() -> Model:
+    def exponential() -> "Model":
         return Model(_exponential, ("constant", "slope"), (0.0, -1.0))
 
     @staticmethod
-    def polynomial(degree: int) -> Model:
+    def polynomial(degree: int) -> "Model":
         return Model(_polynomial, tuple(f"p{k}" for k in range(degree + 1)), (0.0,) * (degree + 1))
 
-    def with_params(self, *values: float) -> Model:
+    def with_params(self, *values: float) -> "Model":
         return replace(self, start=tuple(map(float, values)))
 
-    def limit(self, name: str, lo: float = -math.inf, hi: float = math.inf) -> Model:
+    def limit(self, name: str, lo: float = -math.inf, hi: float = math.inf) -> "Model":
         return replace(self, limits=self.limits | {name: (lo, hi)})
 
-    def fix(self, name: str, value: float) -> Model:
+    def fix(self, name: str, value: float) -> "Model":
         start = tuple(value if n == name else v for n, v in zip(self.names, self.start))
         return replace(self, start=start, fixed=self.fixed | {name})
 
-    def estimate_from(self, x: np.ndarray, y: np.ndarray) -> Model:
+    def estimate_from(self, x: np.ndarray, y: np.ndarray) -> "Model":
         return self.with_params(*self.seed(x, y)) if self.seed and len(x) else self
 
     def eval(self, x, params=None):
@@ -197,7 +195,7 @@ def fit_groups(rows: DataFrame, by: list[str], model: Model, method: str = "chi2
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in by}
     schema = ", ".join([f"`{n}` {kinds[n]}" for n in by] + [f"{n} double, {n}_error double" for n in model.names] + ["cost double", "ndf long", "valid boolean"])
 
-    def one(key, data: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
         data = data.sort_values("x")
         x, y = data.x.to_numpy(float), data.y.to_numpy(float)
         r = fit(x, y, data.sigma.to_numpy(float), model.estimate_from(x, y), method, span)
