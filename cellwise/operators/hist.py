@@ -199,3 +199,18 @@ def merge_groups(h: Hist, *drop: str) -> Hist:
     cells = h.cells.groupBy(*by, *h.keys).agg(F.sum("content").alias("content"), F.sum("sumw2").alias("sumw2"))
     stats = h.stats.groupBy(*by).agg(*[F.sum(m).alias(m) for m in ("entries", *h.moments)])
     return replace(h, cells=cells, stats=stats, by=by)
+
+
+def fill_many(df: DataFrame, specs: dict[str, tuple[Axis, Column | str, Column | str | None]], by: tuple[str, ...] = ()) -> DataFrame:
+    """Several one-dimensional histograms in one scan: name, ix, entries, content, sumw2.
+
+    ``specs`` names an axis, a coordinate and a weight (None: 1) each. Every row gives one small struct
+    a histogram, which the partial aggregation folds before anything is shuffled.
+    """
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("name"), axis.find_bin(x).alias("ix"), (F.lit(1.0) if w is None else col(w)).cast("double").alias("w"))
+        for name, (axis, x, w) in specs.items()
+    ])
+    rows = df.select(*by, F.explode(cells).alias("c")).select(*by, "c.*").where("ix is not null and w is not null")
+    return rows.groupBy(*by, "name", "ix").agg(F.count("*").alias("entries"), F.sum("w").alias("content"), F.sum(F.col("w") * F.col("w")).alias("sumw2"))

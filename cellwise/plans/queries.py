@@ -200,6 +200,12 @@ def th2poly(spark, sf_dir):
     return rounded(profile.poly_fill(items(spark, sf_dir), POLYGONS, "l_quantity", "l_extendedprice", F.expr(DISCOUNTED)), 4, "content")
 
 
+@query(f"SELECT 'price' AS name, {sql_bin('l_extendedprice', COARSE)} AS ix, COUNT(*) AS entries, ROUND(SUM({DISCOUNTED}), 4) AS content FROM lineitem GROUP BY 2 UNION ALL SELECT 'quantity', {sql_bin('l_quantity', QTY)}, COUNT(*), CAST(COUNT(*) AS DOUBLE) FROM lineitem GROUP BY 2 UNION ALL SELECT 'discount', {sql_bin('l_discount', DISC)}, COUNT(*), ROUND(SUM(l_tax), 4) FROM lineitem GROUP BY 2")
+def fill_many(spark, sf_dir):
+    specs = {"price": (COARSE, "l_extendedprice", F.expr(DISCOUNTED)), "quantity": (QTY, "l_quantity", None), "discount": (DISC, "l_discount", "l_tax")}
+    return rounded(hist.fill_many(items(spark, sf_dir), specs).select("name", "ix", "entries", "content"), 4, "content")
+
+
 # ---- algebra
 
 
