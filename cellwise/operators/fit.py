@@ -109,8 +109,41 @@ def cost(model: Model, x, y, sigma, params, method: str) -> float:
     return float(2 * (f - y + np.where(y > 0, y * np.log(np.where(y > 0, y, 1) / f), 0)).sum())
 
 
-def fit(x, y, sigma, model: Model, method: str = "chi2", span: tuple[float, float] | None = None) -> FitResult:
-    """Minimise the cost. Too few points, or a failed search, give an invalid result of NaNs."""
+def simplex(value: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 4000) -> np.ndarray:
+    """The downhill simplex of Nelder and Mead: no derivatives, for costs that have none."""
+    n = len(start)
+    corners = [start] + [start + np.eye(n)[k] * (0.1 * abs(start[k]) or 0.1) for k in range(n)]
+    costs = [value(c) for c in corners]
+    for _ in range(rounds):
+        order = np.argsort(costs, kind="stable")
+        corners, costs = [corners[i] for i in order], [costs[i] for i in order]
+        if abs(costs[-1] - costs[0]) <= 1e-14 * (abs(costs[0]) + 1e-14) and max(np.abs(c - corners[0]).max() for c in corners) <= 1e-10 * (np.abs(corners[0]).max() + 1):
+            break
+        middle, worst = np.mean(corners[:-1], axis=0), corners[-1]
+        trial = middle + (middle - worst)
+        cost_ = value(trial)
+        if cost_ < costs[0]:
+            far = middle + 2 * (middle - worst)
+            cost_far = value(far)
+            corners[-1], costs[-1] = (far, cost_far) if cost_far < cost_ else (trial, cost_)
+        elif cost_ < costs[-2]:
+            corners[-1], costs[-1] = trial, cost_
+        else:
+            near = middle + 0.5 * ((trial if cost_ < costs[-1] else worst) - middle)
+            cost_near = value(near)
+            if cost_near < min(cost_, costs[-1]):
+                corners[-1], costs[-1] = near, cost_near
+            else:
+                corners = [corners[0]] + [corners[0] + 0.5 * (c - corners[0]) for c in corners[1:]]
+                costs = [costs[0]] + [value(c) for c in corners[1:]]
+    return corners[int(np.argmin(costs))]
+
+
+def fit(x, y, sigma, model: Model, method: str = "chi2", span: tuple[float, float] | None = None, minimizer: str = "newton") -> FitResult:
+    """Minimise the cost, by damped Newton steps or a simplex that such steps finish.
+
+    Too few points, or a failed search, give an invalid result of NaNs.
+    """
     if method not in METHODS:
         raise ValueError(f"the method is one of {METHODS}")
     x, y, sigma = (np.asarray(v, float) for v in (x, y, sigma))
@@ -125,6 +158,15 @@ def fit(x, y, sigma, model: Model, method: str = "chi2", span: tuple[float, floa
     low, high = (np.array([model.limits.get(n, (-math.inf, math.inf))[side] for n in model.names]) for side in (0, 1))
     p = np.clip(np.array(model.start, float), low, high)
     value = lambda q: cost(model, x, y, sigma, q, method)
+    if minimizer == "simplex" and free:
+
+        def inside(q):
+            whole = p.copy()
+            whole[free] = q
+            return value(np.clip(whole, low, high))
+
+        p[free] = simplex(inside, p[free])
+        p = np.clip(p, low, high)
     step = lambda q: np.maximum(np.abs(q), 1e-3) * 1e-5
 
     def slopes(q):

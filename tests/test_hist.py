@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,10 @@ def test_gaussian_fit(spark):
     assert got.valid
     for a, b in zip(got.params, (1000.827893, 0.498833, 1.297287)):  # to 5e-3 of 1 + |b|, as the constants are stated
         assert abs(a - b) <= 5e-3 * (1 + abs(b))
+    x = np.array([v for v, _ in data])
+    w = np.array([c for _, c in data])
+    same = fit.fit(x, w, np.sqrt(w), fit.Model.gaussian().with_params(900, 0, 1), minimizer="simplex")
+    assert same.params == pytest.approx(got.params, rel=1e-5)
     fixed = fit.fit_hist(h, fit.Model.gaussian().fix("mean", 0.5), estimate=False)
     assert fixed.params[1] == 0.5 and fixed.errors[1] == 0
 

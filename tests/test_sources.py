@@ -10,8 +10,10 @@ from cellwise.functions.axis import Axis
 from cellwise.operators import hist
 from cellwise.operators.graph import Formula, Graph, normalize
 from cellwise.sources import blocks, events
+from cellwise.sources.collections import ObjectList, ObjectMap, matrix, multiply, stacked, vector
 from cellwise.sources.shared import ensure_checkpoint
 from cellwise.sources.store import Store, latest, symmetric
+from cellwise.sources.writer import BatchWriter, read_batches
 from cellwise.streaming.fill import run_once, stream_cells
 
 
@@ -105,3 +107,38 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.ix: r.content for r in run_once(stream_cells(stream, axis, "x"), f"cells_{os.getpid()}").collect()}
     want = {r.ix: r.content for r in hist.fill(df, [axis], ["x"]).cells.collect()}
     assert got == want
+
+
+def test_batches(spark, tmp_path):
+    writer = BatchWriter(f"file://{tmp_path}/t", rows_per_file=2)
+    for k in range(3):
+        writer.write_batch(spark.createDataFrame([(k * 4 + i, float(i)) for i in range(4)], "x int, y double"))
+    writer.write_batch(spark.createDataFrame([(8, 0.5)], "x int, y double"), 2)  # again, in place of the third
+    with pytest.raises(SchemaChanged):
+        writer.write_batch(spark.createDataFrame([(1,)], "x int"))
+    assert writer.finish() == 3 and sorted(r.x for r in read_batches(spark, writer.path).collect()) == [*range(8), 8]
+    with pytest.raises(ValueError):
+        writer.write_batch(spark.createDataFrame([(1, 1.0)], "x int, y double"))
+
+
+def test_stream_into_batches(spark, tmp_path):
+    spark.range(20).repartition(4).write.parquet(f"{tmp_path}/in")
+    writer = BatchWriter(f"file://{tmp_path}/out")
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = stream.writeStream.foreachBatch(writer.sink()).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.id for r in read_batches(spark, writer.path).collect()) == list(range(20)) and writer.count > 1
+
+
+def test_collections(spark):
+    some = ObjectList([1, "a"]).add(2)
+    assert some.items(int) == [1, 2] and some.class_names() == ["int", "str", "int"]
+    named = ObjectMap().insert("k", 1).insert("l", 2).insert("k", 3)
+    assert named.get("k") == 3 and named.get("z") is None and named.string_keys() == ["k", "l"] and named.values() == [3, 2]
+    h = hist.fill(spark.createDataFrame([(0.5,), (0.5,), (1.5,)], "x double"), [Axis.reg(2, 0, 2)], ["x"])
+    assert [(r.ordinal, r.upto) for r in stacked([h, h]).where("cell = 1").orderBy("ordinal").collect()] == [(0, 2.0), (1, 4.0)]
+    a = matrix(spark, [[1, 2], [3, 4]])
+    assert sorted(tuple(r) for r in multiply(a, a).collect()) == [(0, 0, 7.0), (0, 1, 10.0), (1, 0, 15.0), (1, 1, 22.0)]
+    assert [r.v for r in vector(spark, [1, 2]).orderBy("i").collect()] == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        matrix(spark, [[1], [1, 2]])
