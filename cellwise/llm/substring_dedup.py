@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bytesview import Prefix, same_bytes, spans
 from .common import column, cut
-from .windows import IS_WORD, NULL_ID, PLACES, Spec, covered, crowded, distinct_pieces, first_places, keyed, places, removed_mask, with_runs
+from .windows import IS_WORD, NULL_ID, PLACES, Spec, covered, distinct_pieces, first_places, keyed, places, removed_mask, with_runs
 
 WIDTH, ANCHOR, CHUNK, FANOUT, BATCHES = 50, 10, 20_000, 4, 2
 
@@ -103,12 +103,6 @@ class FingerprintIndex:
         fresh = cut(places(batch, self.spec), "fresh")
         history = self.history(batch)
         found, reps = self._meet(fresh, history)
-        if hot := crowded(reps):
-            table = batch.sparkSession.createDataFrame([(h,) for h in hot], "m long")
-            known = history.join(table, "m", "left_semi").select("doc_id").distinct()
-            alone, ours = self._meet(cut(places(batch, self.spec, hot), "hot-fresh"), places(corpus.join(known, "doc_id", "left_semi"), self.spec, hot))
-            found = found.join(table, "m", "left_anti").unionByName(alone)
-            reps = reps.join(table, "m", "left_anti").unionByName(ours)
         self._append(fresh)
         return covered(found, first_places(reps, corpus, self.spec, first_documents, CHUNK), self.spec, within=False)
 

@@ -6,6 +6,10 @@ prefixes of neighbouring suffixes; transform and prefixes are read from one pair
 to another, in order. Neighbours that share ``width`` bytes hold equal windows, and the first place of
 each group is its least (doc_id, start).
 
+A symbol is ``BLOCK`` bytes, read as one number, so a round takes in that many bytes. Each piece enters
+the collection BLOCK times, once for every remainder of its windows' offsets, and a window is
+width / BLOCK symbols of one of these texts.
+
 Pieces are cut so that each window lies whole in one of them: rounds are bounded by the piece length
 (at most 2 * width - anchor bytes), not by the longest document. See windows.py for null and repeated ids.
 Null texts are empty. An empty table gives no rows.
@@ -25,54 +29,73 @@ from pyspark.sql import functions as F
 from .common import column, cut
 from .windows import NULL_ID, Spec, covered, crowded, distinct_pieces, first_places, keyed, places, removed_mask, with_runs
 
-CHUNK, CAP_PREFIX = 4000, 250
+CHUNK, BLOCK, CAP_PREFIX = 1000, 5, 250
 
 
-def columnwise_index(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """The transform (0 ends a text; else byte + 1) and the common prefixes (up to CAP_PREFIX).
+def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The transform (0 ends a text) and the common prefixes in symbols (up to CAP_PREFIX).
 
-    Common prefix k is that of the suffixes at k - 1 and k. UTF-8 has no bytes above 0xF4, so a symbol
-    fits one byte.
+    Text k has the symbols symbols[starts[k] + step * i], i < lengths[k], all above 0. Common prefix k
+    is that of the suffixes at k - 1 and k.
     """
-    m = len(lengths)
+    m, rounds, kinds = len(lengths), int(lengths.max(initial=0)), (symbols.dtype, np.dtype(np.uint8))
     names = [[os.path.join(folder, f"{kind}{side}") for kind in ("bwt", "lcp")] for side in (0, 1)]
-    symbol = lambda k, r: np.where(lengths[k] > r, flat[starts[k] + np.maximum(lengths[k] - r - 1, 0)].astype(np.int16) + 1, 0).astype(np.uint8)
+    files = [[open(name, "w+b", buffering=0) for name in pair] for pair in names]  # noqa: SIM115
+
+    def write(side: int, kind: int, values: np.ndarray) -> None:
+        files[side][kind].seek(0)
+        files[side][kind].write(values)
+
+    def read(side: int, kind: int, size: int) -> np.ndarray:
+        files[side][kind].seek(0)
+        return np.fromfile(files[side][kind], kinds[kind], size)
+
+    def symbol(k: np.ndarray, r: int) -> np.ndarray:
+        """The symbol before the suffix of length r of each text k, 0 if there is none."""
+        rest = lengths[k] - r
+        out = symbols[starts[k] + step * np.maximum(rest - 1, 0)]
+        out[rest < 1] = 0
+        return out
+
     active = np.arange(m)
-    symbol(active, 0).tofile(names[0][0])
-    np.zeros(m, np.uint8).tofile(names[0][1])
-    at = np.arange(m)
-    for r in range(1, int(lengths.max(initial=0)) + 1):
-        (bwt_in, lcp_in), (bwt_out, lcp_out) = names[(r - 1) % 2], names[r % 2]
-        bwt, lcp = np.fromfile(bwt_in, np.uint8), np.fromfile(lcp_in, np.uint8)
+    at, size = active, m
+    write(0, 0, symbol(active, 0))
+    write(0, 1, np.zeros(m, np.uint8))
+    for r in range(1, rounds + 1):
+        bwt, lcp = read((r - 1) % 2, 0, size), read((r - 1) % 2, 1, size)
         going = lengths[active] >= r
         active, at = active[going], at[going]
         by_symbol = np.argsort(bwt, kind="stable")
-        place = np.empty(len(bwt), np.int64)
-        place[by_symbol] = np.arange(len(bwt))
-        ended = len(bwt) - np.count_nonzero(bwt)
+        place = np.empty(size, np.int64)
+        place[by_symbol] = np.arange(size)
         k = place[at]
-        new = m + k - ended
+        new = m + k - (size - np.count_nonzero(bwt))
         # The neighbours with the same first symbol, and the least prefix on the way to each.
-        padded = np.r_[lcp, np.uint8(0)]
-        before, after = by_symbol[k - 1], by_symbol[np.minimum(k + 1, len(bwt) - 1)]
-        has_before = (k > 0) & (bwt[before] == bwt[at])
-        has_after = (k + 1 < len(bwt)) & (bwt[after] == bwt[at])
-        low = np.where(has_before, _least(padded, before, at, has_before), 0)
-        high = np.where(has_after, _least(padded, at, after, has_after), 0)
-        size = len(bwt) + len(new)
+        padded = np.append(lcp, np.uint8(0))
+        before, after = by_symbol[k - 1], by_symbol[np.minimum(k + 1, size - 1)]
+        own = bwt[at]
+        has_before = (k > 0) & (bwt[before] == own)
+        has_after = (k + 1 < size) & (bwt[after] == own)
+        low, high = _least(padded, before, at, has_before), _least(padded, at, after, has_after)
+        size += len(new)
         old = np.ones(size, bool)
         old[new] = False
-        out = np.empty(size, np.uint8)
-        out[old] = bwt
+        kept = np.flatnonzero(old)
+        out = np.empty(size, kinds[0])
+        out[kept] = bwt
         out[new] = symbol(active, r)
-        out.tofile(bwt_out)
-        out[old] = lcp
+        write(r % 2, 0, out)
+        out = np.empty(size, kinds[1])
+        out[kept] = lcp
         out[new] = low
         out[new[has_after] + 1] = high[has_after]
-        out.tofile(lcp_out)
+        write(r % 2, 1, out)
         at = new
-    last = names[int(lengths.max(initial=0)) % 2]
-    return np.fromfile(last[0], np.uint8), np.fromfile(last[1], np.uint8)
+    result = read(rounds % 2, 0, size), read(rounds % 2, 1, size)
+    for pair in files:
+        for f in pair:
+            f.close()
+    return result
 
 
 def _least(lcp: np.ndarray, left: np.ndarray, right: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -107,47 +130,47 @@ def suffixes(bwt: np.ndarray, m: int, lengths: np.ndarray) -> tuple[np.ndarray,
 
 def first_windows(data: list[bytes], n: np.ndarray, doc: np.ndarray, start: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each piece, the least (doc_id, start) of an equal window in these pieces."""
-    lengths = n + spec.width - 1
+    step = BLOCK if spec.width % BLOCK == 0 else 1
+    depth = spec.width // step
     flat = np.frombuffer(b"".join(data), np.uint8)
-    begins = np.cumsum(lengths) - lengths
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = columnwise_index(flat, begins, lengths, folder)
-    text, size = suffixes(bwt, len(n), lengths)
-    group = np.cumsum(lcp < spec.width)
-    whole = size >= spec.width
-    text, size, group = text[whole], size[whole], group[whole]
-    offset = lengths[text] - size
-    at = start[text] + offset
-    order = np.lexsort((at, doc[text]))
+    lengths = n + spec.width - 1
+    begins, slots = np.cumsum(lengths) - lengths, np.cumsum(n) - n
+    blocks = np.zeros(len(flat), np.uint64)
+    for k in range(step):
+        blocks[: len(flat) - k] = blocks[: len(flat) - k] * np.uint64(256) + flat[k:]
+    kinds, ranks = np.unique(blocks, return_inverse=True)
+    symbols = (ranks + 1).astype(np.uint16 if len(kinds) < 65_535 else np.int32)
+    # Places in order of (doc_id, start), as one number.
+    at = np.repeat(start - slots, n) + np.arange(int(n.sum()))
+    own = np.repeat(doc, n)
+    order = np.lexsort((at, own))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
+    least = np.empty(len(order), np.int64)
+    # A piece is one text for each remainder of its windows' offsets.
+    piece, phase = (v.ravel() for v in np.meshgrid(np.arange(len(n)), np.arange(step), indexing="ij"))
+    piece, phase = piece[n[piece] > phase], phase[n[piece] > phase]
+    sizes = (n[piece] - phase - 1) // step + depth
+    with tempfile.TemporaryDirectory() as folder:
+        bwt, lcp = columnwise_index(symbols, begins[piece] + phase, sizes, step, folder)
+    text, size = suffixes(bwt, len(piece), sizes)
+    group = np.cumsum(lcp < depth)
+    whole = size >= depth
+    text, size, group = text[whole], size[whole], group[whole]
+    slot = slots[piece[text]] + phase[text] + step * (sizes[text] - size)
     heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    least = order[np.minimum.reduceat(rank, heads)]
-    counts = np.diff(np.r_[heads, len(group)])
-    chosen = np.repeat(least, counts)
-    slot = (np.cumsum(n) - n)[text] + offset
-    first_doc, first_start = np.empty(len(slot), np.int64), np.empty(len(slot), np.int64)
-    first_doc[slot], first_start[slot] = doc[text[chosen]], at[chosen]
-    return first_doc, first_start
+    best = np.minimum.reduceat(rank[slot], heads)
+    least[slot] = np.repeat(best, np.diff(np.r_[heads, len(group)]))
+    return own[order[least]], at[order[least]]
 
 
 def repeated_runs(docs: DataFrame, width: int = 100, anchor: int = 32) -> DataFrame:
     """doc_id, low, high: byte runs covered by ``width``-byte strings that start earlier as well."""
     spec = Spec(False, width, anchor)
 
-    def found_of(hot: list[int] | None, name: str) -> DataFrame:
-        often = places(docs, spec, hot).groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m")
-        return cut(places(docs, spec, hot).join(often, "m", "left_semi"), name)
-
-    found = found_of(None, "places")
+    often = places(docs, spec, anchors_only=True).groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m")
+    found = cut(places(docs, spec).join(often, "m", "left_semi"), "places")
     reps = cut(distinct_pieces(found), "pieces")
-    if hot := crowded(reps):
-        # Windows of crowded anchors go on alone; other pieces as they are.
-        marked = F.col("m").isin(hot) if len(hot) < 100 else None
-        cold = (lambda df: df.where(~marked)) if marked is not None else (lambda df: df.join(docs.sparkSession.createDataFrame([(h,) for h in hot], "m long"), "m", "left_anti"))
-        alone = found_of(hot, "hot-places")
-        found = cold(found).unionByName(alone)
-        reps = cold(reps).unionByName(distinct_pieces(alone))
     return covered(found, first_places(reps, docs, spec, first_windows, CHUNK), spec, within=True)
 
 

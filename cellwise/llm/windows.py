@@ -27,7 +27,7 @@ from .common import SPACES, column, cut, only, slices, text_bytes
 NULL_ID = -(2**63)
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACES)] = False
-SLICE, LIMIT, MAX_HOT = 1 << 20, 2000, 50_000
+SLICE, LIMIT, MAX_HOT = 1 << 18, 2000, 50_000
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ class Units:
             self.values, self.firsts = self.raw, offsets
 
 
-def pieces(units: Units, spec: Spec) -> dict[str, np.ndarray]:
+def pieces(units: Units, spec: Spec, content: bool = True) -> dict[str, np.ndarray]:
     """text, start, n (windows), m (anchor), ph (hash of the content), at (place in the values)."""
     values, firsts, width = units.values, units.firsts, spec.width
     count = len(values) - width + 1
@@ -77,44 +77,30 @@ def pieces(units: Units, spec: Spec) -> dict[str, np.ndarray]:
     begin = np.flatnonzero(new)
     n = np.r_[breaks, count][np.searchsorted(breaks, begin) + 1] - begin
     text = np.searchsorted(firsts, begin, side="right") - 1
-    ph = Prefix(values, 1).runs(begin, begin + n + width - 1)
+    ph = Prefix(values, 1).runs(begin, begin + n + width - 1) if content else begin
     return {"text": text, "start": begin - firsts[text], "n": n, "m": low[begin].view(np.int64), "ph": ph.view(np.int64), "at": begin}
 
 
-def _single(units: Units, spec: Spec, found: dict, hot: np.ndarray) -> dict:
-    """The windows of pieces with a hot anchor, as pieces whose anchor is their own hash."""
-    those = np.isin(found["m"], hot)
-    n = found["n"][those]
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(found["at"][those], n) + step
-    ph = Prefix(units.values, 1).runs(at, at + spec.width)
-    return {
-        "text": np.repeat(found["text"][those], n), "start": np.repeat(found["start"][those], n) + step,
-        "n": np.ones(len(at), np.int64), "m": mix(ph ^ np.uint64(1)).view(np.int64), "ph": ph.view(np.int64), "at": at,
-    }
-
-
 PLACES = "m long, ph long, doc_id long, start int, n int"
 
 
-def places(docs: DataFrame, spec: Spec, hot: list[int] | None = None) -> DataFrame:
-    """All pieces of ``docs``; with ``hot``, only the windows of those anchors, each as a piece."""
+def places(docs: DataFrame, spec: Spec, anchors_only: bool = False) -> DataFrame:
+    """All pieces of ``docs``, or just their anchors."""
 
     def run(batches):
-        many = np.asarray(hot or [], np.int64)
         for batch in batches:
             for some in slices(batch, "text", SLICE):
-                units = Units(column(some, "text"), spec.words)
-                found = pieces(units, spec)
-                if hot is not None:
-                    found = _single(units, spec, found, many)
+                found = pieces(Units(column(some, "text"), spec.words), spec, not anchors_only)
+                if anchors_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(found["m"])], names=["m"])
+                    continue
                 ids = column(some, "doc_id").to_numpy()[found["text"]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found["m"]), pa.array(found["ph"]), pa.array(ids), pa.array(found["start"], pa.int32()), pa.array(found["n"], pa.int32())],
                     names=["m", "ph", "doc_id", "start", "n"],
                 )
 
-    return docs.mapInArrow(run, PLACES)
+    return docs.mapInArrow(run, "m long" if anchors_only else PLACES)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -133,10 +119,14 @@ def crowded(reps: DataFrame) -> list[int]:
     return [r.m for r in reps.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("m").collect()]
 
 
-def _texts(spec: Spec):
-    """The content of the pieces that each document lends; content that is not the piece's is left out."""
+def _texts(spec: Spec, hot: list[int]):
+    """The content of the pieces that each document lends; content that is not the piece's is left out.
+
+    The windows of hot anchors go on one by one, each its own anchor; they remember their piece.
+    """
 
     def run(batches):
+        many = np.asarray(hot, np.int64)
         for batch in batches:
             for some in slices(batch, "text", SLICE):
                 units = Units(column(some, "text"), spec.words)
@@ -144,24 +134,37 @@ def _texts(spec: Spec):
                 flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 m, ph, start, n = (flat.field(k).to_numpy() for k in ("m", "ph", "start", "n"))
+                start, n = start.astype(np.int64), n.astype(np.int64)
                 at = units.firsts[text] + start
                 end = at + n + spec.width - 1
                 fits = end <= units.firsts[text + 1]
+                hashes = Prefix(units.values, 1)
                 good = fits.copy()
-                good[fits] = Prefix(units.values, 1).runs(at[fits], end[fits]).view(np.int64) == ph[fits]
+                good[fits] = hashes.runs(at[fits], end[fits]).view(np.int64) == ph[fits]
                 kept = np.flatnonzero(good)
-                if spec.words:
-                    a, b = units.starts[at[kept]], units.ends[end[kept] - 1]
-                else:
-                    a, b = at[kept], end[kept]
+                m, ph, start, n, at, end, text = (v[kept] for v in (m, ph, start, n, at, end, text))
+                of_m, of_ph, k = np.zeros_like(m), np.zeros_like(m), np.full(len(m), -1)
+                if len(many) and len(those := np.flatnonzero(np.isin(m, many))):
+                    rest = np.setdiff1d(np.arange(len(m)), those)
+                    row = np.repeat(those, n[those])
+                    step = np.arange(len(row)) - np.repeat(np.cumsum(n[those]) - n[those], n[those])
+                    at_, own = at[row] + step, hashes.runs(at[row] + step, at[row] + step + spec.width)
+                    join = lambda a, b: np.concatenate([a[rest], b])
+                    of_m, of_ph, k = join(of_m, m[row]), join(of_ph, ph[row]), join(k, step)
+                    start, text = join(start, start[row] + step), join(text, text[row])
+                    n, end, at = join(n, np.ones(len(row), np.int64)), join(end, at_ + spec.width), join(at, at_)
+                    m, ph = join(m, mix(own ^ np.uint64(1)).view(np.int64)), join(ph, own.view(np.int64))
+                a, b = (units.starts[at], units.ends[end - 1]) if spec.words else (at, end)
                 data = [units.raw[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())]
-                ids = column(some, "doc_id").to_numpy()[text[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(m[kept]), pa.array(ph[kept]), pa.array(ids), pa.array(start[kept], pa.int32()), pa.array(n[kept], pa.int32()), pa.array(data, pa.binary())], names=["m", "ph", "doc_id", "start", "n", "piece"])
+                ids = column(some, "doc_id").to_numpy()[text]
+                longs = [pa.array(v) for v in (m, ph, ids, start, n, of_m, of_ph, k)]
+                yield pa.RecordBatch.from_arrays([*longs, pa.array(data, pa.binary())], names=["m", "ph", "doc_id", "start", "n", "of_m", "of_ph", "k", "piece"])
 
     return run
 
 
-FIRSTS = "ph long, first_doc array<long>, first_start array<long>"
+_TEXTS = "m long, ph long, doc_id long, start long, n long, of_m long, of_ph long, k long, piece binary"
+FIRSTS = "m long, ph long, first_doc array<long>, first_start array<long>"
 #: A kernel gets pieces (bytes), their windows, doc_ids and starts; it gives each window's first place.
 Kernel = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, Spec], tuple[np.ndarray, np.ndarray]]
 
@@ -171,7 +174,7 @@ def _kernel(kernel: Kernel, spec: Spec, chunk: int):
         n = rows["n"].to_numpy().astype(np.int64)
         doc, start = kernel(rows["piece"].to_pylist(), n, rows["doc_id"].to_numpy(), rows["start"].to_numpy().astype(np.int64), spec)
         offsets = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
-        return pa.RecordBatch.from_arrays([rows["ph"].combine_chunks(), pa.ListArray.from_arrays(offsets, pa.array(doc)), pa.ListArray.from_arrays(offsets, pa.array(start))], names=["ph", "first_doc", "first_start"])
+        return pa.RecordBatch.from_arrays([rows["m"].combine_chunks(), rows["ph"].combine_chunks(), pa.ListArray.from_arrays(offsets, pa.array(doc)), pa.ListArray.from_arrays(offsets, pa.array(start))], names=["m", "ph", "first_doc", "first_start"])
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []
@@ -194,11 +197,24 @@ def _kernel(kernel: Kernel, spec: Spec, chunk: int):
 
 
 def first_places(reps: DataFrame, docs: DataFrame, spec: Spec, kernel: Kernel, chunk: int) -> DataFrame:
-    """ph and the first place of each window of the piece, for the distinct pieces ``reps``."""
+    """m, ph and the first place of each window of the piece, for the distinct pieces ``reps``."""
     lent = reps.groupBy("doc_id").agg(F.collect_list(F.struct("m", "ph", "start", "n")).alias("reps"))
-    with_text = docs.join(lent, "doc_id").mapInArrow(_texts(spec), f"{PLACES}, piece binary")
-    once = with_text.repartition("m").sortWithinPartitions("m", "ph")
-    return once.mapInArrow(_kernel(kernel, spec, chunk), FIRSTS)
+    hot = crowded(reps)
+    rows = docs.join(lent, "doc_id").mapInArrow(_texts(spec, hot), _TEXTS)
+    needed = ["m", "ph", "doc_id", "start", "n", "piece"]
+    solve = lambda df: df.repartition("m").sortWithinPartitions("m", "ph").mapInArrow(_kernel(kernel, spec, chunk), FIRSTS)
+    if not hot:
+        return solve(rows.select(needed))
+    rows = cut(rows, "texts")
+    alone = rows.where("k >= 0")
+    once = alone.groupBy("m", "ph").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("piece").alias("piece"))
+    once = once.select("m", "ph", "at.doc_id", "at.start", F.lit(1).cast("long").alias("n"), "piece")
+    firsts = cut(solve(rows.where("k < 0").select(needed).unionByName(once)), "firsts")
+    # Windows that went alone come back to their pieces, which have few windows each.
+    back = alone.select("of_m", "of_ph", "k", "m", "ph").join(firsts, ["m", "ph"])
+    back = back.groupBy("of_m", "of_ph").agg(F.sort_array(F.collect_list(F.struct("k", F.col("first_doc")[0].alias("d"), F.col("first_start")[0].alias("s")))).alias("w"))
+    back = back.select(F.col("of_m").alias("m"), F.col("of_ph").alias("ph"), F.col("w.d").alias("first_doc"), F.col("w.s").alias("first_start"))
+    return firsts.unionByName(back)
 
 
 def _runs(spec: Spec, within: bool):
@@ -229,7 +245,7 @@ def _runs(spec: Spec, within: bool):
 
 def covered(found: DataFrame, firsts: DataFrame, spec: Spec, within: bool) -> DataFrame:
     """doc_id, low, high: runs of units covered by windows that occur before (they may overlap)."""
-    return found.join(firsts, "ph").mapInArrow(_runs(spec, within), "doc_id long, low long, high long")
+    return found.join(firsts, ["m", "ph"]).mapInArrow(_runs(spec, within), "doc_id long, low long, high long")
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
