@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .classifier import fit, score
 from .common import table
 from .decontaminate import contamination
@@ -39,7 +40,7 @@ def op4_license_scan(spark, sf_dir):
 
 
 def op5_suffix_decontamination(spark, sf_dir):
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_hit")
 
 
 def op6_best_two_fit(spark, sf_dir):
@@ -64,4 +65,8 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_files, op4_license_scan, op5_suffix_decontamination, op6_best_two_fit, op7_simhash, op8_compression_quality, op9_warc, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_suffix_decontamination": oracles.DECONTAMINATION,
+    "op10_quality_rules": oracles.QUALITY,
+}
