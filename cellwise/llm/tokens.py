@@ -8,14 +8,28 @@ against encoding whole texts.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import regex
 
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
 _MAX_RUNS, _MAX_CHARS, _JOIN = 1_000_000, 48_000_000, 2000
+#: Fixed values of the two public vocabularies: how they cut a text into words before merging.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LOWER_CASE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Beyond these characters words are cut by the library itself.
+_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]*")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself where it prints, else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
 class _Memo(dict):
@@ -40,10 +54,25 @@ class RunEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self._letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
+        self._newline = _byte_letters()[10]
+        self._words, self._lower = None, False
+        if "ByteLevel" in repr(self.tokenizer.pre_tokenizer):
+            cuts = json.loads(self.tokenizer.to_str(pretty=False))
+            steps = cuts["pre_tokenizer"].get("pretokenizers", [cuts["pre_tokenizer"]])
+            norms = [n["type"] for n in (cuts["normalizer"] or {}).get("normalizers", [])]
+            if not cuts["normalizer"] and len(steps) == 1 and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]:
+                self._words = regex.compile(_BYTE_LEVEL)
+            elif norms == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": _LOWER_CASE}:
+                self._words, self._lower = regex.compile(_LOWER_CASE), True
+        self._merger = Tokenizer(self.tokenizer.model)
         self._reset()
 
     def _reset(self):
-        self.memo, self.chars = _Memo(), 0
+        self.memo, self.pieces, self.chars = _Memo(), _Memo(), 0
+        self.piece_flat = np.zeros(0, np.uint32)
+        self.piece_starts = np.zeros(0, np.int64)
+        self.piece_counts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
@@ -54,19 +83,59 @@ class RunEncoder:
         if not new:
             return
         runs = [f" {key}" if type(key) is str else key[0] for key in new]
-        groups = [runs[k : k + _JOIN] for k in range(0, len(runs), _JOIN)]
-        found, each = [], []
+        simple = [self._words is not None and _PLAIN.fullmatch(r, r.startswith(" ")) is not None for r in runs]
+        owns, pieces = [], []
+        for k, run in enumerate(runs):
+            if not simple[k]:
+                continue
+            if self._lower:
+                words = self._words.findall(run.lower())
+            else:
+                words = (run,) if run[1:].isalpha() else self._words.findall(run)
+            pieces += words
+            owns += [k] * len(words)
+        found, owner = [], np.asarray(owns, np.int64)
+        which = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        self._merge()
+        size = self.piece_counts[which]
+        counts = np.bincount(owner, size, len(runs)).astype(np.int64)
+        found.append(self.piece_flat[np.repeat(self.piece_starts[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
+        others = [r for r, s in zip(runs, simple) if not s]
+        which = np.flatnonzero(~np.asarray(simple, bool))
+        groups = [others[k : k + _JOIN] for k in range(0, len(others), _JOIN)]
+        each = [np.zeros(0, np.int64)]
         for group, encoding in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
             found.append(np.asarray(encoding.ids, np.uint32))
             each.append(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(group)))
-        counts = np.concatenate(each)
-        starts = len(self.flat) + np.cumsum(counts) - counts
+        counts[which] = np.concatenate(each)
+        # The ids of the simple runs come first, then those of the others.
+        order = np.r_[np.flatnonzero(np.asarray(simple, bool)), which].astype(np.int64)
+        laid = counts[order]
+        starts = np.empty(len(runs), np.int64)
+        starts[order] = len(self.flat) + np.cumsum(laid) - laid
         self.flat = np.concatenate([self.flat, *found])
         self.starts = np.concatenate([self.starts, starts])
         self.counts = np.concatenate([self.counts, counts])
         self.chars += sum(map(len, runs))
         self.memo.pending = []
 
+    def _merge(self):
+        """Merge the bytes of the words that wait."""
+        new = self.pieces.pending
+        if not new:
+            return
+        letters = "\n".join(new).encode().decode("latin-1").translate(self._letters).split(self._newline)
+        groups = [letters[k : k + _JOIN] for k in range(0, len(letters), _JOIN)]
+        found, each = [], []
+        for group, encoding in zip(groups, self._merger.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
+            found.append(np.asarray(encoding.ids, np.uint32))
+            each.append(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(group)))
+        counts = np.concatenate(each)
+        self.piece_starts = np.concatenate([self.piece_starts, len(self.piece_flat) + np.cumsum(counts) - counts])
+        self.piece_flat = np.concatenate([self.piece_flat, *found])
+        self.piece_counts = np.concatenate([self.piece_counts, counts])
+        self.pieces.pending = []
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one row, and the number of ids of each text."""
         if len(self.memo) > _MAX_RUNS or self.chars > _MAX_CHARS:
