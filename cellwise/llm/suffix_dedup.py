@@ -6,9 +6,9 @@ prefixes of neighbouring suffixes; transform and prefixes are read from one pair
 to another, in order. Neighbours that share ``width`` bytes hold equal windows, and the first place of
 each group is its least (doc_id, start).
 
-A symbol is ``BLOCK`` bytes, read as one number, so a round takes in that many bytes. Each piece enters
-the collection BLOCK times, once for every remainder of its windows' offsets, and a window is
-width / BLOCK symbols of one of these texts.
+A symbol is a block of up to 20 bytes (one of BLOCKS that divides the width), so a round takes in that
+many. Each piece enters the collection once for every remainder of its windows' offsets by the block,
+and a window is width / block symbols of one of these texts. Blocks are numbered in their order.
 
 Pieces are cut so that each window lies whole in one of them: rounds are bounded by the piece length
 (at most 2 * width - anchor bytes), not by the longest document. See windows.py for null and repeated ids.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import column, cut
 from .windows import NULL_ID, Spec, covered, crowded, distinct_pieces, first_places, keyed, places, removed_mask, with_runs
 
-CHUNK, BLOCK, CAP_PREFIX = 1000, 5, 250
+CHUNK, BLOCKS, CAP_PREFIX = 250, (20, 10, 5, 1), 250
 
 
 def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
@@ -128,18 +128,29 @@ def suffixes(bwt: np.ndarray, m: int, lengths: np.ndarray) -> tuple[np.ndarray,
     return text, size
 
 
+def block_numbers(flat: np.ndarray, width: int) -> np.ndarray:
+    """The rank, from 1, of the ``width`` bytes at each place among all such blocks (5 * 2**k or 1 bytes)."""
+    have = min(width, 5)
+    blocks = np.zeros(len(flat), np.uint64)
+    for k in range(have):
+        blocks[: len(flat) - k] = blocks[: len(flat) - k] * np.uint64(256) + flat[k:]
+    kinds, ranks = np.unique(blocks, return_inverse=True)
+    while have < width:  # a block is a pair of blocks of half its size
+        ahead = np.zeros_like(ranks)
+        ahead[:-have] = ranks[have:]
+        kinds, ranks = np.unique(ranks * len(kinds) + ahead, return_inverse=True)
+        have *= 2
+    return (ranks + 1).astype(np.uint16 if len(kinds) < 65_535 else np.int32)
+
+
 def first_windows(data: list[bytes], n: np.ndarray, doc: np.ndarray, start: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each piece, the least (doc_id, start) of an equal window in these pieces."""
-    step = BLOCK if spec.width % BLOCK == 0 else 1
+    step = next(b for b in BLOCKS if spec.width % b == 0)
     depth = spec.width // step
     flat = np.frombuffer(b"".join(data), np.uint8)
     lengths = n + spec.width - 1
     begins, slots = np.cumsum(lengths) - lengths, np.cumsum(n) - n
-    blocks = np.zeros(len(flat), np.uint64)
-    for k in range(step):
-        blocks[: len(flat) - k] = blocks[: len(flat) - k] * np.uint64(256) + flat[k:]
-    kinds, ranks = np.unique(blocks, return_inverse=True)
-    symbols = (ranks + 1).astype(np.uint16 if len(kinds) < 65_535 else np.int32)
+    symbols = block_numbers(flat, step)
     # Places in order of (doc_id, start), as one number.
     at = np.repeat(start - slots, n) + np.arange(int(n.sum()))
     own = np.repeat(doc, n)
