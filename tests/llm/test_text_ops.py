@@ -71,20 +71,20 @@ def test_suffix_dedup(docs, limit, monkeypatch):
     assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == bytes_left(texts(), 100)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab", min_size=6, max_size=40), min_size=1, max_size=8))
-def test_columnwise_index(strings):
-    data = [s.encode() for s in strings]
-    spec = windows.Spec(False, 6, 3)
-    n = np.array([len(d) - 5 for d in data])
+@settings(max_examples=80, deadline=None)
+@given(st.sampled_from([6, 10, 15, 20, 40]), st.lists(st.text("ab", min_size=1, max_size=40), min_size=1, max_size=8))
+def test_columnwise_index(width, strings):
+    data = [(s * 40)[: width + len(s) - 1].encode() for s in strings]
+    spec = windows.Spec(False, width, 3)
+    n = np.array([len(d) - width + 1 for d in data])
     doc, start = suffix_dedup.first_windows(data, n, np.arange(len(data)), np.zeros(len(data), np.int64), spec)
     first, at = {}, 0
     for k, d in enumerate(data):
-        for i in range(len(d) - 5):
-            first.setdefault(d[i : i + 6], (k, i))
+        for i in range(len(d) - width + 1):
+            first.setdefault(d[i : i + width], (k, i))
     for k, d in enumerate(data):
-        for i in range(len(d) - 5):
-            assert (doc[at], start[at]) == first[d[i : i + 6]]
+        for i in range(len(d) - width + 1):
+            assert (doc[at], start[at]) == first[d[i : i + width]]
             at += 1
 
 
