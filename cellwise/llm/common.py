@@ -44,10 +44,15 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: its lineage ends here."""
+    """Write ``df`` to the shared folder and read it again: its lineage ends here.
+
+    The shuffle files behind it are of no more use; Spark removes them once the driver's collector has
+    found the plan unreachable, so the collector is asked to look.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -180,16 +180,23 @@ def _kernel(kernel: Kernel, spec: Spec, chunk: int):
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
             waiting.append(batch)
-            while sum(map(len, waiting)) > chunk:
-                rows = pa.Table.from_batches(waiting).combine_chunks()
-                m = rows["m"].to_numpy()
-                edges = np.flatnonzero(m[1:] != m[:-1]) + 1
-                fit = edges[edges <= chunk]
-                stop = int(fit[-1]) if len(fit) else int(edges[0]) if len(edges) else 0
-                if not stop:
+            if sum(map(len, waiting)) <= chunk:
+                continue
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            m = rows["m"].to_numpy()
+            edges = np.flatnonzero(m[1:] != m[:-1]) + 1  # the last anchor may go on in the next batch
+            done = 0
+            while len(rows) - done > chunk:
+                nearest = int(np.searchsorted(edges, done + chunk, side="right"))
+                if nearest and edges[nearest - 1] > done:
+                    stop = int(edges[nearest - 1])
+                elif nearest < len(edges):
+                    stop = int(edges[nearest])
+                else:
                     break
-                yield solve(rows.slice(0, stop))
-                waiting = rows.slice(stop).to_batches()
+                yield solve(rows.slice(done, stop - done))
+                done = stop
+            waiting = rows.slice(done).to_batches()
         if sum(map(len, waiting)):
             yield solve(pa.Table.from_batches(waiting).combine_chunks())
 
