@@ -5,7 +5,9 @@ Each ratio's distribution is kept as an integer histogram whose buckets hold the
 of the value: a mergeable quantile sketch with a relative error below 1/16, whose parts add up in any
 order. Sketches of (lang, source) are added up to those of lang and of everything; a group with
 fewer than ``MIN_DOCS`` documents uses the next wider one. The fences of a group are Tukey's, three
-interquartile ranges outside the quartiles, but never tighter than ``SLACK``.
+interquartile ranges outside the quartiles, but an upper fence is never under the fixed number in
+``RATIOS``. On the given tables that number is always the greater, so there the upper limits are
+fixed and only the lower fence of word_len adapts (figures in the README).
 
 Null texts have no words, and fail the base rule. Null lang or source form a group of their own.
 Rows that repeat a doc_id each get a row. An empty table gives no rows.
