@@ -91,7 +91,9 @@ class RunEncoder:
             if self._lower:
                 words = self._words.findall(run.lower())
             else:
-                words = (run,) if run[1:].isalpha() else self._words.findall(run)
+                # One word only if no cut can come after its first character, as in a text that begins with 'stress.
+                whole = run[1:].isalpha() and (run[0] == " " or run[0].isalpha())
+                words = (run,) if whole else self._words.findall(run)
             pieces += words
             owns += [k] * len(words)
         found, owner = [], np.asarray(owns, np.int64)

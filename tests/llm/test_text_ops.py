@@ -156,6 +156,15 @@ def test_runs_encode_any_text(some):
         assert _ENCODER.tokenizer.encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_that_begin_with_an_apostrophe(name):
+    encoder = RunEncoder(tokenizer(name))
+    some = ["'stress of it", "'manager", "'derived\nx", "'duplicate", "'reader's", "'ve", "'llama", "'x", "1st", "(self", "Word", " 'stress"]
+    ids, counts = encoder.encode(some)
+    for text, count, end in zip(some, counts, np.cumsum(counts)):
+        assert encoder.tokenizer.encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist(), text
+
+
 def test_token_files(docs, spark):
     encoder = RunEncoder(tokenizer("byte_bpe_50k.json")).tokenizer
     got, start = by_id(token_files.token_files(docs, tokenizer("byte_bpe_50k.json"))), 0
