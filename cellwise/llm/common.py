@@ -100,3 +100,12 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def only(df: DataFrame, **casts: str) -> DataFrame:
     """Just the named columns with their types; others, whatever their names, are left out."""
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in casts.items()])
+
+
+#: The column that ``numbered`` adds.
+ROW = "row_number_"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a different number in each row, written out so that later reads see the same numbers."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")

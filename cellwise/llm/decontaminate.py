@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import Prefix, same_bytes, spans
-from .common import column, cut, only, slices, text_bytes
+from .common import ROW, column, cut, numbered, only, slices, text_bytes
 
 WINDOW, BLOCK_BYTES, SHARD_BYTES = 13, 4 << 20, 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -222,6 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTE
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    bad = cut(contamination(docs, benchmark).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that are not contaminated, each judged by its own text, whatever its doc_id."""
+    rows = numbered(docs)
+    bad = cut(contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(ROW)), "contaminated")
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)

@@ -13,7 +13,7 @@ fingerprints differ in four bits or fewer exactly if some value is within two bi
 
 Null texts have no words, like empty ones: fingerprint zero. A null doc_id takes part in links, but
 never names a component unless all of it is null. Rows that repeat a doc_id each get a row. An empty
-table gives no rows.
+table gives no rows. ``keep_one`` decides row by row, whatever the ids.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, only, slices
+from .common import ROW, column, cut, numbered, only, slices
 from .components import components
 
 RADIUS, SHINGLE, SEED, CELL = 4, 4, 42, 1 << 16
@@ -63,17 +63,18 @@ def fingerprint(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, fingerprint (as a signed long) and the ``keys``, which are longs, of every row."""
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
                 texts = column(piece, "text").fill_null("").to_pylist()
                 fp = fingerprint([shingle_hashes(t) for t in texts])
-                yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), pa.array(fp.view(np.int64)), *[column(piece, k) for k in keys]], names=["doc_id", "fp", *keys])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    casts = {"doc_id": "long", "text": "string"} | dict.fromkeys(keys, "long")
+    return only(docs, **casts).mapInArrow(run, ", ".join(f"{k} long" for k in ("doc_id", "fp", *keys)))
 
 
 def cell_keys(fp: np.ndarray) -> np.ndarray:
@@ -181,19 +182,33 @@ def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     return edges
 
 
+def rooted(fps: DataFrame, cell: int = CELL) -> DataFrame:
+    """``fps``, one row a fingerprint, with the ``root`` of its component, itself a fingerprint."""
+    roots = components(links(fps, cell)).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id for every row of ``docs``."""
     prints = cut(fingerprints(docs), "fingerprints")
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints")
-    roots = components(links(fps, cell)).withColumnRenamed("node", "fp")
-    joined = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = rooted(fps, cell)
     named = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
     classes = cut(joined.join(named, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of every group."""
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of ``docs`` for every component: that with the least doc_id.
+
+    Rows are numbered, so each is judged by its own text: of rows that share the least doc_id of a
+    component the first by number stays, and a row with a null doc_id stays only if all of the
+    component's are null.
+    """
+    rows = numbered(docs)
+    prints = cut(fingerprints(rows, ROW), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
+    fps = cut(prints.groupBy("fp").agg(F.min(rank).alias("first")), "distinct-fingerprints")
+    kept = cut(rooted(fps).groupBy("root").agg(F.min("first").alias("first")).select(f"first.{ROW}"), "kept")
+    gone = prints.select(ROW).join(kept, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)

@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest doc_id, of every SimHash group."""
+    """Keep one row, that with the smallest doc_id, of every SimHash group."""
     return keep_one(docs)
 
 

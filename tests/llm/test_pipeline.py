@@ -4,7 +4,7 @@
 import pytest
 
 import corpus_pipeline
-from cellwise.llm import classifier
+from cellwise.llm import classifier, decontaminate, simhash
 from cellwise.llm.common import cut, table
 
 
@@ -89,3 +89,17 @@ def test_packing(stages):
     assert {r.doc_id for r in rows} == ids(docs)
     total, sequences = sum(r.length for r in rows), {r.sequence_id for r in rows}
     assert len(sequences) <= -(-total // 2048) + 2
+
+
+def test_null_and_repeated_ids_are_judged_row_by_row(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, a), (7, a), (1, b), (5, b), (5, c), (6, c), (2, d), (2, d), (None, e), (None, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    after = simhash.keep_one(docs)
+    assert after.columns == docs.columns
+    assert sorted(((r.text[0], r.doc_id) for r in after.collect()), key=str) == [("a", 7), ("b", 1), ("c", 5), ("d", 2), ("e", None)]
+    bench = spark.createDataFrame([("x", a), ("y", c)], "item_id string, text string")
+    for some in (docs, after):
+        left = [(r.text[0], r.doc_id) for r in decontaminate.clean(some, bench).collect()]
+        want = [(r.text[0], r.doc_id) for r in some.collect() if r.text not in (a, c)]
+        assert sorted(left, key=str) == sorted(want, key=str)
