@@ -6,8 +6,10 @@ which gives all its verbatim places; hashes order the words and the bytes of eve
 
 The test windows travel to the tasks in blocks of at most ``BLOCK_BYTES`` of item text, so what is
 sent has a fixed bound however many items there are. Null texts have no words: null documents are
-clean, null items match nothing. Rows that repeat a doc_id each get a row (with more than one block,
-they count as one document). Repeated item_ids count once. Empty tables: no rows, or only clean ones.
+clean, items with a null text match nothing. Items with a null item_id are searched like all others; in
+n_items they count as one item, in items_sha256 they have no name. Rows that repeat a doc_id each get a
+row (with more than one block, they count as one document). Repeated item_ids count once. Empty tables:
+no rows, or only clean ones.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ class Words:
 class TestWindows:
     """The distinct windows of some items and the items that each belongs to."""
 
-    def __init__(self, item_ids: list[str], texts: list[str | None], width: int = WINDOW):
+    def __init__(self, item_ids: list[str | None], texts: list[str | None], width: int = WINDOW):
         self.words = Words(pa.array(texts, pa.large_string()))
         w, item, at, length = self.words, [], [], []
         for t, n in enumerate(w.n.tolist()):
@@ -134,6 +136,11 @@ def matches(docs: Words, test: TestWindows) -> tuple[np.ndarray, np.ndarray]:
     return window[good], at[good]
 
 
+def by_name(items) -> list[str | None]:
+    """Item ids in order, null last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 _OUT = "doc_id long, n_words long, hits array<struct<low:long,high:long>>, items array<string>"
 _HITS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
@@ -162,7 +169,7 @@ def _found(docs: DataFrame, test: TestWindows) -> DataFrame:
                     items.setdefault(t, set()).update(test.item_ids[i] for i in test.items[test.items_from[w] : test.items_from[w + 1]].tolist())
                 rows = range(len(piece))
                 yield pa.RecordBatch.from_arrays(
-                    [column(piece, "doc_id"), pa.array(words.n, pa.int64()), pa.array([hits.get(t, []) for t in rows], _HITS), pa.array([sorted(items.get(t, ())) for t in rows], pa.list_(pa.string()))],
+                    [column(piece, "doc_id"), pa.array(words.n, pa.int64()), pa.array([hits.get(t, []) for t in rows], _HITS), pa.array([by_name(items.get(t, ())) for t in rows], pa.list_(pa.string()))],
                     names=["doc_id", "n_words", "hits", "items"],
                 )
 
@@ -171,12 +178,12 @@ def _found(docs: DataFrame, test: TestWindows) -> DataFrame:
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
     """The items in blocks of about ``limit`` bytes of text, each small enough to send to every task."""
-    items = only(benchmark, item_id="string", text="string").where("item_id is not null")
+    items = only(benchmark, item_id="string", text="string")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-total // limit) or 1
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect() if n > 1 else items.collect()
-        rows.sort(key=lambda r: (r.item_id, r.text or ""))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
+        rows.sort(key=lambda r: (r.item_id is None, r.item_id or "", r.text or ""))
         yield TestWindows([r.item_id for r in rows], [r.text for r in rows])
 
 
@@ -192,7 +199,7 @@ def _merge(batches):
                 else:
                     merged.append(dict(run))
             hits.append(merged)
-        items = [sorted({i for part in parts for i in part}) for parts in column(batch, "items").to_pylist()]
+        items = [by_name({i for part in parts for i in part}) for parts in column(batch, "items").to_pylist()]
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_words"), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"])
 
 

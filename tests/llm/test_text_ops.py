@@ -291,6 +291,25 @@ def test_decontamination(docs, spark, limit):
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BLOCK_BYTES, 100])
+def test_items_without_an_id_are_searched(spark, limit):
+    import duckdb
+    import pyarrow as pa
+
+    from cellwise.llm import oracles
+
+    items = [(None, PASSAGE), (None, "one two"), ("a", "one two"), ("b", None), (None, None), ("c", "the cat sat")]
+    some = [(k, t) for k, t in enumerate(TEXTS) if len(t or "") < 5000]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [k for k, _ in some], "text": [t for _, t in some]}))
+    con.register("benchmark", pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}))
+    want = {r[0]: r[1:] for r in con.execute(oracles.DECONTAMINATION).fetchall()}
+    docs, bench = spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = by_id(decontaminate.contamination(docs, bench, limit))
+    assert {k: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for k, r in got.items()} == want
+    assert got[8].contaminated and got[8].n_items == 1
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60))
 def test_suffix_array_order(values):
