@@ -29,16 +29,16 @@ from pyspark.sql import functions as F
 from .common import column, cut
 from .windows import NULL_ID, Spec, covered, crowded, distinct_pieces, first_places, keyed, places, removed_mask, with_runs
 
-CHUNK, BLOCKS, CAP_PREFIX = 250, (20, 10, 5, 1), 250
+CHUNK, BLOCKS = 250, (20, 10, 5, 1)
 
 
-def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """The transform (0 ends a text) and the common prefixes in symbols (up to CAP_PREFIX).
+def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int, folder: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transform (0 ends a text) and the common prefixes in symbols (up to ``depth``).
 
     Text k has the symbols symbols[starts[k] + step * i], i < lengths[k], all above 0. Common prefix k
     is that of the suffixes at k - 1 and k.
     """
-    m, rounds, kinds = len(lengths), int(lengths.max(initial=0)), (symbols.dtype, np.dtype(np.uint8))
+    m, rounds, kinds = len(lengths), int(lengths.max(initial=0)), (symbols.dtype, np.min_scalar_type(depth))
     names = [[os.path.join(folder, f"{kind}{side}") for kind in ("bwt", "lcp")] for side in (0, 1)]
     files = [[open(name, "w+b", buffering=0) for name in pair] for pair in names]  # noqa: SIM115
 
@@ -60,7 +60,7 @@ def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     active = np.arange(m)
     at, size = active, m
     write(0, 0, symbol(active, 0))
-    write(0, 1, np.zeros(m, np.uint8))
+    write(0, 1, np.zeros(m, kinds[1]))
     for r in range(1, rounds + 1):
         bwt, lcp = read((r - 1) % 2, 0, size), read((r - 1) % 2, 1, size)
         going = lengths[active] >= r
@@ -71,12 +71,12 @@ def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
         k = place[at]
         new = m + k - (size - np.count_nonzero(bwt))
         # The neighbours with the same first symbol, and the least prefix on the way to each.
-        padded = np.append(lcp, np.uint8(0))
+        padded = np.append(lcp, kinds[1].type(0))
         before, after = by_symbol[k - 1], by_symbol[np.minimum(k + 1, size - 1)]
         own = bwt[at]
         has_before = (k > 0) & (bwt[before] == own)
         has_after = (k + 1 < size) & (bwt[after] == own)
-        low, high = _least(padded, before, at, has_before), _least(padded, at, after, has_after)
+        low, high = _least(padded, before, at, has_before, depth), _least(padded, at, after, has_after, depth)
         size += len(new)
         old = np.ones(size, bool)
         old[new] = False
@@ -98,15 +98,15 @@ def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     return result
 
 
-def _least(lcp: np.ndarray, left: np.ndarray, right: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """1 + min(lcp[left + 1 : right + 1]) where ``which``, capped."""
-    out = np.zeros(len(left), np.uint8)
+def _least(lcp: np.ndarray, left: np.ndarray, right: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
+    """1 + min(lcp[left + 1 : right + 1]) where ``which``, ``depth`` at most."""
+    out = np.zeros(len(left), lcp.dtype)
     if which.any():
         order = np.argsort(left[which], kind="stable")
         a, b = left[which][order] + 1, right[which][order] + 1
         ranges = np.minimum.reduceat(lcp, np.stack([a, b], 1).ravel())[::2]
-        value = np.empty(len(a), np.uint8)
-        value[order] = np.minimum(ranges, CAP_PREFIX - 1) + 1
+        value = np.empty(len(a), lcp.dtype)
+        value[order] = np.minimum(ranges, depth - 1) + 1
         out[which] = value
     return out
 
@@ -163,7 +163,7 @@ def first_windows(data: list[bytes], n: np.ndarray, doc: np.ndarray, start: np.n
     piece, phase = piece[n[piece] > phase], phase[n[piece] > phase]
     sizes = (n[piece] - phase - 1) // step + depth
     with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = columnwise_index(symbols, begins[piece] + phase, sizes, step, folder)
+        bwt, lcp = columnwise_index(symbols, begins[piece] + phase, sizes, step, folder, depth)
     text, size = suffixes(bwt, len(piece), sizes)
     group = np.cumsum(lcp < depth)
     whole = size >= depth

@@ -88,6 +88,17 @@ def test_columnwise_index(width, strings):
             at += 1
 
 
+@pytest.mark.parametrize("width", [249, 251, 307])
+def test_columnwise_index_of_deep_prefixes(width):
+    data = [LONG[:400].encode(), b"x" + LONG[:400].encode(), LONG[100:450].encode()]
+    n = np.array([len(d) - width + 1 for d in data])
+    doc, start = suffix_dedup.first_windows(data, n, np.arange(3), np.zeros(3, np.int64), windows.Spec(False, width, 3))
+    first, want = {}, []
+    for k, d in enumerate(data):
+        want += [first.setdefault(d[i : i + width], (k, i)) for i in range(len(d) - width + 1)]
+    assert list(zip(doc.tolist(), start.tolist())) == want
+
+
 # ---- 2
 
 
