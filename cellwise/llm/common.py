@@ -6,6 +6,7 @@ says all executors share. A lost executor then costs its running tasks and no mo
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 from pathlib import Path
@@ -13,6 +14,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +47,25 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: its lineage ends here.
-
-    The shuffle files behind it are of no more use; Spark removes them once the driver's collector has
-    found the plan unreachable, so the collector is asked to look.
-    """
+    """Write ``df`` to the shared folder and read it again: its lineage ends here. ``release`` deletes it."""
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return reread(spark, path, df.schema)
+
+
+def reread(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that was written at ``path``."""
+    again = spark.read.schema(schema).parquet(path)
+    again.cut_folder = path
+    return again
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these frames; nothing that is still to be read may come from them."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str):
@@ -102,10 +114,96 @@ def only(df: DataFrame, **casts: str) -> DataFrame:
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in casts.items()])
 
 
-#: The column that ``numbered`` adds.
-ROW = "row_number_"
+#: The column that ``numbered`` adds, and how far its partition number is shifted.
+ROW, PART_BITS = "row_number_", 33
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a different number in each row, written out so that later reads see the same numbers."""
+    """``df`` with a different number in each row, written out so that later reads see the same numbers.
+
+    A number's upper bits name the partition that wrote the row: its part.
+    """
+    if any(name.lower() == ROW for name in df.columns):
+        raise ValueError(f"a column is named {ROW}")
     return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit integers of one length, as compressed differences. Sorted ones get small."""
+    planes = [np.diff(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return struct.pack("<I", len(arrays[0])) + zstandard.compress(b"".join(planes), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays that ``packed`` was given, as signed integers."""
+    (n,) = struct.unpack_from("<I", data)
+    raw = np.frombuffer(zstandard.decompress(data[4:]), np.uint8)
+    return [np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view(np.int64).ravel()) for x in raw.reshape(-1, 8 * n)] if n else []
+
+
+def joined(blobs: list[bytes], columns: int) -> list[np.ndarray]:
+    """The arrays of several blobs, one after another."""
+    parts = [x for x in map(unpacked, blobs) if x]
+    return [np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in range(columns)]
+
+
+class SideTables:
+    """A small table for every part of a numbered table, fetched by the tasks that read the part.
+
+    It takes the place of a join on the row number, for which the texts would have to be shuffled. What
+    the driver holds is a file name and a place for each part, as many as the input has partitions.
+    """
+
+    def __init__(self, places: dict[int, tuple[str, int, int]], columns: int):
+        self.places, self.columns = places, columns
+
+    @classmethod
+    def write(cls, df: DataFrame, columns: int, tag: str) -> SideTables:
+        """From rows (part, data), data being ``packed`` arrays; all rows of a part meet in one task."""
+        folder = shared_dir(df.sparkSession, tag)
+
+        def run(batches):
+            uri, out, at = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", None, 0
+            part, blobs, rows = None, [], []
+
+            def put():
+                nonlocal out, at
+                if out is None:
+                    fs, path = open_fs(uri)
+                    fs.create_dir(open_fs(folder)[1], recursive=True)
+                    out = fs.open_output_stream(path)
+                data = packed(*joined(blobs, columns))
+                out.write(data)
+                rows.append((part, uri, at, len(data)))
+                at += len(data)
+
+            for batch in batches:
+                for p, data in zip(column(batch, "part").to_pylist(), column(batch, "data").to_pylist()):
+                    if p != part and blobs:
+                        put()
+                        blobs = []
+                    part = p
+                    blobs.append(data)
+            if blobs:
+                put()
+            if out is not None:
+                out.close()
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["part", "uri", "at", "size"])
+
+        written = df.repartition(shuffles(df.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "part long, uri string, at long, size long")
+        return cls({r.part: (r.uri, r.at, r["size"]) for r in written.collect()}, columns)
+
+    def of(self, part: int) -> list[np.ndarray]:
+        """The arrays of a part, empty if it has none."""
+        if part not in self.places:
+            return [np.zeros(0, np.int64)] * self.columns
+        uri, at, size = self.places[part]
+        fs, path = open_fs(uri)
+        with fs.open_input_file(path) as file:
+            file.seek(at)
+            return unpacked(file.read(size)) or [np.zeros(0, np.int64)] * self.columns
+
+
+def shuffles(spark: SparkSession) -> int:
+    """The number of partitions that the session shuffles into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

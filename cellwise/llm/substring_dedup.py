@@ -1,32 +1,39 @@
 """Operator 2: substring dedup over a log-structured fingerprint index.
 
-Batches of documents come in ascending doc_id order. The fingerprints of a batch's windows (their
-anchors, see windows.py) are merge-joined with the sorted immutable runs of earlier batches; what
-meets is verified word by word in the texts; then the batch's own run is written, and runs are
-compacted into one when there are more than ``FANOUT``.
+The index is a folder: segments of texts as they came, and sorted immutable runs of the fingerprints
+(keys, see windows.py) of their windows, each run cut into the same ranges of keys. A new batch is
+appended as a segment; its sorted fingerprints are merge-joined, range by range, with the runs of all
+earlier batches, which are read in place and not dealt out again; what meets is remembered for the parts
+that hold it; the batch's own run is written. More than ``FANOUT`` runs are compacted into one. A
+manifest names all this, so a later job opens the index and goes on.
 
-A window is removed where its word sequence also starts in a document with a smaller doc_id. See
-windows.py for null and repeated ids. Null texts have no words. An empty table gives no rows.
+``repeats`` verifies: texts behind fingerprints that met are compared word by word, in one pass for all
+batches since the last one. A window is removed where its word sequence also starts in an earlier
+document, by (doc_id, row), a null doc_id before all others. Rows that share a doc_id, and rows without
+one, are documents of their own. Null texts have no words. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesview import Prefix, same_bytes, spans
-from .common import column, cut
-from .windows import IS_WORD, NULL_ID, PLACES, Spec, covered, distinct_pieces, first_places, keyed, places, removed_mask, with_runs
+from .common import PART_BITS, ROW, SideTables, column, cut, joined, open_fs, packed, release, shared_dir, shuffles, unpacked
+from .windows import IS_WORD, RowRuns, Spec, by_bucket, covered, dealt, fingerprints, met, shares
 
-WIDTH, ANCHOR, CHUNK, FANOUT, BATCHES = 50, 10, 20_000, 4, 2
+WIDTH, ANCHOR, CHUNK, FANOUT, BATCHES = 50, 10, 20_000, 4, 6
 
 
-def first_documents(data: list[bytes], n: np.ndarray, doc: np.ndarray, start: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of each piece, the least doc_id of a window with the same words here.
+def occurs_before(data: list[bytes], n: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, spec: Spec) -> np.ndarray:
+    """Whether the words of each window of each text also start in a document with a smaller (doc_id, row).
 
     Windows are grouped by hash; then each is compared, word by word, with the first of its group, and
     those that differ are grouped by their words instead.
@@ -34,15 +41,17 @@ def first_documents(data: list[bytes], n: np.ndarray, doc: np.ndarray, start: np
     raw = np.frombuffer(b"".join(data), np.uint8)
     offsets = np.r_[0, np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))]
     begins, ends, firsts = spans(raw, offsets, IS_WORD)
-    values = Prefix(raw, 2).runs(begins, ends)
-    row = np.repeat(np.arange(len(n)), n)
-    at = firsts[row] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    hashes = Prefix(values, 1).runs(at, at + spec.width)
+    of = np.repeat(np.arange(len(n)), n)
+    at = firsts[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    hashes = Prefix(Prefix(raw, 2).runs(begins, ends), 1).runs(at, at + spec.width)
+    places = np.lexsort((row, doc))
+    rank = np.empty(len(n), np.int64)
+    rank[places] = np.cumsum(np.r_[False, (row[places][1:] != row[places][:-1])])
+    own = rank[of]
     order = np.argsort(hashes, kind="stable")
     heads = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
     counts = np.diff(np.r_[heads, len(order)])
     head = np.repeat(order[heads], counts)
-    # Words of a window against words of its group's first one; the first needs no comparison.
     other = np.flatnonzero(order != head)
     a, b = at[order[other]], at[head[other]]
     equal = np.ones(len(other), bool)
@@ -51,116 +60,228 @@ def first_documents(data: list[bytes], n: np.ndarray, doc: np.ndarray, start: np
         fits = size == ends[b + k] - begins[b + k]
         fits[fits] = same_bytes(raw, begins[a[fits] + k], raw, begins[b[fits] + k], size[fits])
         equal &= fits
-    own = doc[row]
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(own[order], heads), counts)
     if not equal.all():
         words = lambda w: b" ".join(raw[begins[at[w] + k] : ends[at[w] + k]].tobytes() for k in range(spec.width))
-        mixed = np.isin(hashes, hashes[order[other[~equal]]])
+        mixed = np.flatnonzero(np.isin(hashes, hashes[order[other[~equal]]])).tolist()
         by_words: dict[bytes, int] = {}
-        for w in np.flatnonzero(mixed).tolist():
+        for w in mixed:
             key = words(w)
             by_words[key] = min(by_words.get(key, int(own[w])), int(own[w]))
-        for w in np.flatnonzero(mixed).tolist():
+        for w in mixed:
             least[w] = by_words[words(w)]
-    return least, np.zeros(len(least), np.int64)
+    return least < own
+
+
+def _store(folder: str, data: bytes) -> str:
+    """A new file of the index."""
+    uri = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.run"
+    fs, path = open_fs(uri)
+    fs.create_dir(open_fs(folder)[1], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(data)
+    return uri
+
+
+def _load(uri: str) -> list[np.ndarray]:
+    fs, path = open_fs(uri)
+    with fs.open_input_stream(path) as file:
+        return unpacked(file.read()) or [np.zeros(0, np.int64)] * 2
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints with the first place of every different piece."""
+    """An index in a folder: ``create`` or ``open`` it, ``add`` batches, ask for ``repeats``."""
+
+    def __init__(self, spark: SparkSession, folder: str, state: dict):
+        self.spark, self.folder, self.state = spark, folder, state
+        self.spec = Spec(*state["spec"])
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, spec: Spec = Spec(True, WIDTH, ANCHOR), fanout: int = FANOUT) -> FingerprintIndex:
+        state = {"spec": [spec.words, spec.width, spec.anchor], "buckets": 4 * shuffles(spark), "fanout": fanout, "parts": 0, "segments": [], "runs": [], "met": [], "version": 0}
+        index = cls(spark, folder, state)
+        index._save()
+        return index
 
-    def __init__(self, spec: Spec = Spec(True, WIDTH, ANCHOR)):
-        self.spec, self.runs = spec, []
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index as its last saved manifest names it."""
+        fs, path = open_fs(folder)
+        from pyarrow.fs import FileSelector
 
-    def history(self, like: DataFrame) -> DataFrame:
-        empty = like.sparkSession.createDataFrame([], PLACES)
-        for run in self.runs:
-            empty = run if empty is None else empty.unionByName(run)
-        return empty
+        newest = max(x.path for x in fs.get_file_info(FileSelector(path)) if x.base_name.startswith("manifest-"))
+        with fs.open_input_stream(newest) as file:
+            return cls(spark, folder, json.loads(file.read()))
 
-    def _append(self, fresh: DataFrame) -> None:
-        self.runs.append(cut(distinct_pieces(fresh).repartition("m").sortWithinPartitions("m"), "run"))
-        if len(self.runs) > FANOUT:
+    def _save(self) -> None:
+        """A manifest is written whole under another name first; older ones stay readable until then."""
+        fs, path = open_fs(self.folder)
+        fs.create_dir(path, recursive=True)
+        self.state["version"] += 1
+        name = f"{path}/manifest-{self.state['version']:09d}"
+        with fs.open_output_stream(f"{path}/.new") as out:
+            out.write(json.dumps(self.state).encode())
+        fs.move(f"{path}/.new", name)
+
+    def append(self, rows: DataFrame) -> list[str]:
+        """Write numbered texts to the log. Where there is a ``batch_`` column, a segment for each batch."""
+        path = f"{self.folder}/texts-{uuid.uuid4().hex}"
+        first = self.state["parts"]
+        rows = rows.withColumn(ROW, F.monotonically_increasing_id() + F.lit(first << PART_BITS))
+        if "batch_" not in rows.columns:
+            rows.write.parquet(path)
+            found = [path]
+        else:
+            rows.write.partitionBy("batch_").parquet(path)
+            written = self.spark.read.parquet(path)
+            found = [f"{path}/batch_={r.batch_}" for r in written.select("batch_").distinct().orderBy("batch_").collect()] if written.columns != [] else []
+        self.state["parts"] = first + rows.rdd.getNumPartitions() + 1
+        return found
+
+    def add(self, segment: str, schema) -> None:
+        """Index a segment of the log: what meets is noted, the segment's run is written."""
+        rows = self.spark.read.schema(schema).parquet(segment)
+        buckets = self.state["buckets"]
+        runs, folder = self.state["runs"], f"{self.folder}/run-{uuid.uuid4().hex}"
+
+        def run(batches):
+            for bucket, parts, blobs in by_bucket(batches):
+                keys, of, often = met(parts, blobs)
+                ours, theirs = [(keys[often], of[often])], []
+                distinct = keys[np.r_[True, keys[1:] != keys[:-1]]]
+                for files in runs:
+                    if str(bucket) not in files:
+                        continue
+                    old, old_of = _load(files[str(bucket)])
+                    old = old.view(np.uint64)
+                    # Both sides are sorted: each key's place in the other one.
+                    at = np.minimum(np.searchsorted(distinct, old), len(distinct) - 1)
+                    hit = distinct[at] == old
+                    theirs.append((old[hit], old_of[hit]))
+                    at = np.minimum(np.searchsorted(old, keys), len(old) - 1)
+                    hit = (old[at] == keys) & ~often
+                    ours.append((keys[hit], of[hit]))
+                found = shares(*(np.concatenate(x) for x in zip(*(ours + theirs))))
+                uri = _store(folder, packed(keys, of))
+                kinds = pa.array(np.zeros(len(found), np.int32))
+                yield pa.RecordBatch.from_arrays([kinds, found["part"], found["data"], pa.array([None] * len(found), pa.string())], names=["bucket", "part", "data", "uri"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([uri])], names=["bucket", "part", "data", "uri"])
+
+        out = cut(dealt(fingerprints(rows, self.spec, buckets), buckets).mapInArrow(run, "bucket int, part long, data binary, uri string"), "met")
+        # One file name for each range of keys.
+        files = {str(r.bucket): r.uri for r in out.where("part = -1").select("bucket", "uri").collect()}
+        self.state["runs"].append(files)
+        self.state["segments"].append(segment)
+        self.state["met"].append(out.cut_folder)
+        if len(self.state["runs"]) > self.state["fanout"]:
             self.compact()
+        self._save()
 
     def compact(self) -> None:
-        """One run in place of all."""
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.unionByName(run)
-        self.runs = [cut(distinct_pieces(merged).repartition("m").sortWithinPartitions("m"), "run")]
-
-    def _meet(self, fresh: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pieces of the batch that may repeat something, and the different pieces that they meet."""
-        own = fresh.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        known = history.groupBy("m").agg(F.lit(True).alias("known"))
-        hits = cut(own.join(known, "m", "left").where("known or low < high").select("m"), "hits")
-        found = cut(fresh.join(hits, "m", "left_semi"), "places")
-        return found, cut(distinct_pieces(found.unionByName(history.join(hits, "m", "left_semi"))), "pieces")
-
-    def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
-        """Index a batch; gives its covered runs of words. ``corpus`` holds the texts so far, and the batch's."""
-        fresh = cut(places(batch, self.spec), "fresh")
-        history = self.history(batch)
-        found, reps = self._meet(fresh, history)
-        self._append(fresh)
-        return covered(found, first_places(reps, corpus, self.spec, first_documents, CHUNK), self.spec, within=False)
-
-
-def repeated_runs(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Covered runs of words of all documents, taken in as ``batches`` of ascending doc_id."""
-    bounds = docs.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    index, low, runs = FingerprintIndex(), None, None
-    edges = sorted(set(bounds or [])) + [None]
-    for high in edges:
-        batch = docs if low is None else docs.where(F.col("doc_id") > low)
-        corpus = docs if high is None else docs.where(F.col("doc_id") <= high)
-        batch = batch if high is None else batch.where(F.col("doc_id") <= high)
-        found = index.add(batch, corpus)
-        if high is not None:
-            found = cut(found, "covered")
-        runs = found if runs is None else runs.unionByName(found)
-        low = high
-    return runs
-
-
-def _words(data: bytes, runs: list | None) -> tuple[int, int, list[bytes]]:
-    words = data.split()
-    gone = removed_mask(runs, len(words)) if runs else None
-    return len(words), int(gone.sum()) if runs else 0, [w for w, g in zip(words, gone) if not g] if runs else words
+        """One run in place of all, merged range by range."""
+        folder, runs = f"{self.folder}/run-{uuid.uuid4().hex}", self.state["runs"]
+        named = [(int(b), [r[b] for r in runs if b in r]) for b in sorted({b for r in runs for b in r}, key=int)]
 
+        def run(batches):
+            for batch in batches:
+                for bucket, uris in zip(column(batch, "bucket").to_pylist(), column(batch, "uris").to_pylist()):
+                    keys, of = (np.concatenate(x) for x in zip(*map(_load, uris)))
+                    order = np.lexsort((of, keys.view(np.uint64)))
+                    keys, of = keys[order], of[order]
+                    new = np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_store(folder, packed(keys[new], of[new]))])], names=["bucket", "uri"])
 
-def _digest(batches):
-    for batch in batches:
-        rows = []
-        for doc_id, text, runs in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "runs"))):
-            n, removed, kept = _words((text or "").encode(), runs)
-            rows.append((None if doc_id == NULL_ID else doc_id, n, removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        listed = self.spark.createDataFrame(named, "bucket int, uris array<string>").repartition(shuffles(self.spark), "bucket")
+        self.state["runs"] = [{str(r.bucket): r.uri for r in listed.mapInArrow(run, "bucket int, uri string").collect()}]
+        fs, _ = open_fs(self.folder)
+        for files in runs:
+            for uri in files.values():
+                fs.delete_file(open_fs(uri)[1])
 
+    def rows(self, schema) -> DataFrame:
+        """All segments."""
+        if not self.state["segments"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*self.state["segments"])
 
-def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    def repeats(self, schema, limit: int | None = None) -> SideTables:
+        """Covered runs of words of the rows whose fingerprints met since the last call, verified."""
+        if not self.state["met"]:
+            return SideTables({}, 3)
+        noted = self.spark.read.schema("bucket int, part long, data binary, uri string").parquet(*self.state["met"])
+        keys = noted.where("part >= 0").select("part", "data")
+        found = covered(self.rows(schema), keys, self.spec, occurs_before, CHUNK, False, limit)
+        for path in self.state["met"]:
+            fs, at = open_fs(path)
+            fs.delete_dir(at)
+        self.state["met"] = []
+        self._save()
+        return found
+
+
+def indexed(docs: DataFrame, batches: int, fanout: int = FANOUT, limit: int | None = None) -> tuple[DataFrame, SideTables]:
+    """Numbered rows of ``docs``, all their columns, and their covered runs of words."""
+    spark = docs.sparkSession
+    index = FingerprintIndex.create(spark, shared_dir(spark, "index"), fanout=fanout)
+    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    batch = F.lit(0)
+    for bound in sorted(set(bounds or [])):
+        batch = batch + F.when(F.col("doc_id") > bound, 1).otherwise(0)
+    segments = index.append(docs.withColumn("batch_", batch))
+    schema = docs.withColumn(ROW, F.lit(0).cast("long")).schema
+    for segment in segments:
+        index.add(segment, schema)
+    return index.rows(schema), index.repeats(schema, limit)
+
+
+def _words(data: bytes, runs: list) -> tuple[int, list[bytes]]:
+    words = data.split()
+    kept, at = [], 0
+    for low, high in runs:
+        kept += words[at:low]
+        at = high
+    return len(words), kept + words[at:] if runs else words
+
+
+def substring_dedup(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, limit: int | None = None) -> DataFrame:
     """Word counts and the checksum of what is left of every document."""
-    docs = keyed(docs)
-    return with_runs(docs, repeated_runs(docs, batches)).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, tables = indexed(docs, batches, fanout, limit)
+
+    def digest(batches_):
+        runs_of = RowRuns(tables)
+        for batch in batches_:
+            out = []
+            for row, doc_id, text in zip(*(column(batch, c).to_pylist() for c in (ROW, "doc_id", "text"))):
+                n, kept = _words((text or "").encode(), runs_of(row))
+                out.append((doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return rows.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``docs`` with repeated words taken out of the texts (n_chars follows, where it is a column).
 
-    Texts that lose nothing stay as they are; the others become their kept words, one space between.
+    Texts that lose nothing stay as they are; the others become their kept words, one space between. Every
+    row stays, whatever its doc_id: null texts and texts without words as they are, a text all of whose
+    words go as an empty one. Of rows with equal texts the first by (doc_id, row) keeps its words, a null
+    doc_id before all others. Other columns stay as they are. An empty table gives no rows.
     """
-    lists = repeated_runs(keyed(docs), batches).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("__runs"))
-    lists = lists.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(lists, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__id"), "left").drop("__id")
-    at = docs.columns.index("text")
+    rows, tables = indexed(docs, batches)
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches_):
+        runs_of = RowRuns(tables)
         for batch in batches_:
-            texts = [t if not r else b" ".join(_words((t or "").encode(), r)[2]).decode() for t, r in zip(column(batch, "text").to_pylist(), column(batch, "__runs").to_pylist())]
-            rest = batch.drop_columns(["__runs"])
-            yield rest.set_column(at, "text", pa.array(texts, rest.schema.field(at).type))
+            texts = []
+            for row, text in zip(column(batch, ROW).to_pylist(), column(batch, "text").to_pylist()):
+                runs = runs_of(row)
+                texts.append(b" ".join(_words((text or "").encode(), runs)[1]).decode() if runs else text)
+            rest = batch.select(names)
+            yield rest.set_column(at, rest.schema.field(at), pa.array(texts, rest.schema.field(at).type))
 
-    out = joined.mapInArrow(run, docs.schema)
+    out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

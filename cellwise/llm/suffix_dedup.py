@@ -1,24 +1,23 @@
 """Operator 1: suffix-array dedup, the collection's index built column by column.
 
-A task holds different pieces of text (see windows.py). Every round inserts the next symbol of each
-piece, from its end, into the Burrows-Wheeler transform of the collection, and updates the common
-prefixes of neighbouring suffixes; transform and prefixes are read from one pair of files and written
-to another, in order. Neighbours that share ``width`` bytes hold equal windows, and the first place of
-each group is its least (doc_id, start).
-
-A symbol is a block of up to 20 bytes (one of BLOCKS that divides the width), so a round takes in that
-many. Each piece enters the collection once for every remainder of its windows' offsets by the block,
-and a window is width / block symbols of one of these texts. Blocks are numbered in their order.
-
-Pieces are cut so that each window lies whole in one of them: rounds are bounded by the piece length
-(at most 2 * width - anchor bytes), not by the longest document. See windows.py for null and repeated ids.
-Null texts are empty. An empty table gives no rows.
+The collections are made of the pieces of text whose keys occur twice or more (see windows.py), all
+pieces of a key in one collection. Every round inserts the next symbol of each text, one byte, from its
+end, into the Burrows-Wheeler transform of the collection, and updates the common prefixes of
+neighbouring suffixes; transform and prefixes are read from one pair of files and written to another, in
+order. Neighbours that share ``width`` bytes begin with equal windows, and the first place of such a
+group is its least (doc_id, row, start).
+
+Each window lies whole in one piece, so rounds are bounded by the piece length (less than 2 * width
+bytes), not by the longest document. The files belong to the task that writes them and end with it.
+
+Rows that share a doc_id, and rows without one, are documents of their own, in the order of their rows:
+the first keeps what they share. Null and empty texts give zero counts. Other columns are left out,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 
 import numpy as np
@@ -26,21 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut
-from .windows import NULL_ID, Spec, covered, crowded, distinct_pieces, first_places, keyed, places, removed_mask, with_runs
+from .common import ROW, column, numbered, shuffles
+from .windows import RowRuns, Spec, covered, fingerprints, repeated_keys
 
-CHUNK, BLOCKS = 250, (20, 10, 5, 1)
+CHUNK = 1000
 
 
-def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int, folder: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The transform (0 ends a text) and the common prefixes in symbols (up to ``depth``).
+def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transform (0 ends a text) and the common prefixes (up to ``depth``).
 
-    Text k has the symbols symbols[starts[k] + step * i], i < lengths[k], all above 0. Common prefix k
-    is that of the suffixes at k - 1 and k.
+    Text k has the symbols symbols[starts[k] + i], i < lengths[k], all above 0. Common prefix k is that of
+    the suffixes at k - 1 and k.
     """
     m, rounds, kinds = len(lengths), int(lengths.max(initial=0)), (symbols.dtype, np.min_scalar_type(depth))
-    names = [[os.path.join(folder, f"{kind}{side}") for kind in ("bwt", "lcp")] for side in (0, 1)]
-    files = [[open(name, "w+b", buffering=0) for name in pair] for pair in names]  # noqa: SIM115
+    files = [[tempfile.TemporaryFile(buffering=0) for _ in ("bwt", "lcp")] for _ in (0, 1)]  # noqa: SIM115
 
     def write(side: int, kind: int, values: np.ndarray) -> None:
         files[side][kind].seek(0)
@@ -53,7 +51,7 @@ def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     def symbol(k: np.ndarray, r: int) -> np.ndarray:
         """The symbol before the suffix of length r of each text k, 0 if there is none."""
         rest = lengths[k] - r
-        out = symbols[starts[k] + step * np.maximum(rest - 1, 0)]
+        out = symbols[starts[k] + np.maximum(rest - 1, 0)]
         out[rest < 1] = 0
         return out
 
@@ -128,87 +126,55 @@ def suffixes(bwt: np.ndarray, m: int, lengths: np.ndarray) -> tuple[np.ndarray,
     return text, size
 
 
-def block_numbers(flat: np.ndarray, width: int) -> np.ndarray:
-    """The rank, from 1, of the ``width`` bytes at each place among all such blocks (5 * 2**k or 1 bytes)."""
-    have = min(width, 5)
-    blocks = np.zeros(len(flat), np.uint64)
-    for k in range(have):
-        blocks[: len(flat) - k] = blocks[: len(flat) - k] * np.uint64(256) + flat[k:]
-    kinds, ranks = np.unique(blocks, return_inverse=True)
-    while have < width:  # a block is a pair of blocks of half its size
-        ahead = np.zeros_like(ranks)
-        ahead[:-have] = ranks[have:]
-        kinds, ranks = np.unique(ranks * len(kinds) + ahead, return_inverse=True)
-        have *= 2
-    return (ranks + 1).astype(np.uint16 if len(kinds) < 65_535 else np.int32)
-
-
-def first_windows(data: list[bytes], n: np.ndarray, doc: np.ndarray, start: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of each piece, the least (doc_id, start) of an equal window in these pieces."""
-    step = next(b for b in BLOCKS if spec.width % b == 0)
-    depth = spec.width // step
-    flat = np.frombuffer(b"".join(data), np.uint8)
-    lengths = n + spec.width - 1
+def occurs_before(data: list[bytes], n: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, spec: Spec) -> np.ndarray:
+    """Whether each window of each text has an equal window at a smaller (doc_id, row, start) in these texts."""
+    width = spec.width
+    symbols = np.frombuffer(b"".join(data), np.uint8).astype(np.uint16) + np.uint16(1)
+    lengths = n + width - 1
     begins, slots = np.cumsum(lengths) - lengths, np.cumsum(n) - n
-    symbols = block_numbers(flat, step)
-    # Places in order of (doc_id, start), as one number.
-    at = np.repeat(start - slots, n) + np.arange(int(n.sum()))
-    own = np.repeat(doc, n)
-    order = np.lexsort((at, own))
+    # Places in order, as one number.
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((start[of] + np.arange(len(of)) - slots[of], row[of], doc[of]))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    least = np.empty(len(order), np.int64)
-    # A piece is one text for each remainder of its windows' offsets.
-    piece, phase = (v.ravel() for v in np.meshgrid(np.arange(len(n)), np.arange(step), indexing="ij"))
-    piece, phase = piece[n[piece] > phase], phase[n[piece] > phase]
-    sizes = (n[piece] - phase - 1) // step + depth
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = columnwise_index(symbols, begins[piece] + phase, sizes, step, folder, depth)
-    text, size = suffixes(bwt, len(piece), sizes)
-    group = np.cumsum(lcp < depth)
-    whole = size >= depth
+    bwt, lcp = columnwise_index(symbols, begins, lengths, width)
+    text, size = suffixes(bwt, len(n), lengths)
+    group = np.cumsum(lcp < width)
+    whole = size >= width
     text, size, group = text[whole], size[whole], group[whole]
-    slot = slots[piece[text]] + phase[text] + step * (sizes[text] - size)
+    slot = slots[text] + lengths[text] - size
     heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    best = np.minimum.reduceat(rank[slot], heads)
-    least[slot] = np.repeat(best, np.diff(np.r_[heads, len(group)]))
-    return own[order[least]], at[order[least]]
-
-
-def repeated_runs(docs: DataFrame, width: int = 100, anchor: int = 32) -> DataFrame:
-    """doc_id, low, high: byte runs covered by ``width``-byte strings that start earlier as well."""
-    spec = Spec(False, width, anchor)
-
-    often = places(docs, spec, anchors_only=True).groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m")
-    found = cut(places(docs, spec).join(often, "m", "left_semi"), "places")
-    reps = cut(distinct_pieces(found), "pieces")
-    return covered(found, first_places(reps, docs, spec, first_windows, CHUNK), spec, within=True)
+    again = np.empty(len(order), bool)
+    again[slot] = rank[slot] > np.repeat(np.minimum.reduceat(rank[slot], heads), np.diff(np.r_[heads, len(group)]))
+    return again
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_KINDS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
 
 
-def _strip(keep_text: bool):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text, runs in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), column(batch, "runs").to_pylist()):
-                data = (text or "").encode()
-                gone = removed_mask(runs, len(data))
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if runs else data
-                n_spans = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]])) if len(gone) else 0
-                row = (None if doc_id == NULL_ID else doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest())
-                rows.append(row + ((kept,) if keep_text else ()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names[: len(rows[0])])
-
-    return run
-
-
-def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False, limit: int | None = None) -> DataFrame:
     """Sizes and checksum of what is left of every document; with ``keep_text`` the bytes as well."""
-    docs = keyed(docs)
-    joined = with_runs(docs, repeated_runs(docs, width))
-    return joined.mapInArrow(_strip(keep_text), _OUT + (", kept binary" if keep_text else ""))
+    spec = Spec(False, width, width // 3)
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    buckets = 4 * shuffles(docs.sparkSession)
+    keys = repeated_keys(fingerprints(rows, spec, buckets), buckets)
+    tables = covered(rows, keys, spec, occurs_before, CHUNK, True, limit)
+
+    def strip(batches):
+        runs_of = RowRuns(tables)
+        for batch in batches:
+            out = []
+            for row, doc_id, text in zip(*(column(batch, c).to_pylist() for c in (ROW, "doc_id", "text"))):
+                data, runs = (text or "").encode(), runs_of(row)
+                kept, at = [], 0
+                for low, high in runs:
+                    kept.append(data[at:low])
+                    at = high
+                left = b"".join([*kept, data[at:]]) if runs else data
+                out.append((doc_id, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left))
+            names = list(_KINDS)[: 5 + keep_text]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, _KINDS[k]) for k, x in zip(names, zip(*out))], names=names)
+
+    return rows.mapInArrow(strip, _OUT + (", kept binary" if keep_text else ""))
