@@ -55,19 +55,20 @@ def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
         out[rest < 1] = 0
         return out
 
-    active = np.arange(m)
+    active = np.arange(m, dtype=np.int32)
     at, size = active, m
     write(0, 0, symbol(active, 0))
     write(0, 1, np.zeros(m, kinds[1]))
     for r in range(1, rounds + 1):
         bwt, lcp = read((r - 1) % 2, 0, size), read((r - 1) % 2, 1, size)
         going = lengths[active] >= r
-        active, at = active[going], at[going]
+        if not going.all():
+            active, at = active[going], at[going]
         by_symbol = np.argsort(bwt, kind="stable")
-        place = np.empty(size, np.int64)
-        place[by_symbol] = np.arange(size)
+        place = np.empty(size, np.int32)
+        place[by_symbol] = np.arange(size, dtype=np.int32)
         k = place[at]
-        new = m + k - (size - np.count_nonzero(bwt))
+        new = k + (m - size + np.count_nonzero(bwt))
         # The neighbours with the same first symbol, and the least prefix on the way to each.
         padded = np.append(lcp, kinds[1].type(0))
         before, after = by_symbol[k - 1], by_symbol[np.minimum(k + 1, size - 1)]
@@ -78,13 +79,12 @@ def columnwise_index(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
         size += len(new)
         old = np.ones(size, bool)
         old[new] = False
-        kept = np.flatnonzero(old)
         out = np.empty(size, kinds[0])
-        out[kept] = bwt
+        out[old] = bwt
         out[new] = symbol(active, r)
         write(r % 2, 0, out)
         out = np.empty(size, kinds[1])
-        out[kept] = lcp
+        out[old] = lcp
         out[new] = low
         out[new[has_after] + 1] = high[has_after]
         write(r % 2, 1, out)
@@ -129,7 +129,7 @@ def suffixes(bwt: np.ndarray, m: int, lengths: np.ndarray) -> tuple[np.ndarray,
 def occurs_before(data: list[bytes], n: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, spec: Spec) -> np.ndarray:
     """Whether each window of each text has an equal window at a smaller (doc_id, row, start) in these texts."""
     width = spec.width
-    symbols = np.frombuffer(b"".join(data), np.uint8).astype(np.uint16) + np.uint16(1)
+    symbols = np.frombuffer(b"".join(data), np.uint8) + np.uint8(1)  # no byte of UTF-8 is 255
     lengths = n + width - 1
     begins, slots = np.cumsum(lengths) - lengths, np.cumsum(n) - n
     # Places in order, as one number.

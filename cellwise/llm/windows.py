@@ -12,9 +12,9 @@ Three passes are made over the numbered rows, which are never shuffled:
    one key meet in a task, where a kernel tells which windows occur before;
 3. the covered runs go back to their parts, where the operators strip them.
 
-A key's texts are compared in memory up to ``limit`` different ones. A key with more is split: its
-windows are dealt out again, each by its own hash. Further copies of a text are recognised by their
-bytes as they stream in, so a key may have any number of places.
+Texts arrive sorted by key and bytes, so copies stand together: each different text goes to the kernel
+once, and its copies occur where it does. A key with more than ``limit`` different texts is split: its
+windows are dealt out again, each by its own hash. So a key may have any number of places and of texts.
 
 The order of places is that of (doc_id, row, unit), a null doc_id before all others. Rows that share a
 doc_id are documents of their own: the first row counts as the earlier one.
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -296,9 +297,9 @@ class _Solver:
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(row)]):
             yield _runs_of(int(row[a] >> PART_BITS), [row[a:b], low[a:b], high[a:b]])
 
-    def copies(self, rows: pa.Table, which: list[int]) -> None:
+    def copies(self, rows: pa.Table, which: np.ndarray) -> None:
         """All windows of these texts occur before."""
-        if which:
+        if len(which):
             some = rows.take(which)
             for k, more in enumerate(some["more"].to_pylist()):
                 if more:
@@ -322,20 +323,19 @@ class _Solver:
             for s in joined([mores[j]], 1)[0].tolist() if len(own) else ():
                 self.cover(np.full(len(own), row[j]), s + k[a[own]], s + k[b[own]] + self.spec.width)
 
-    def shorten(self, rows: pa.Table):
-        """Of one key's texts, further copies leave; if too many different ones stay, all are split."""
-        seen: dict[bytes, int] = {}
-        kept, gone = [], []
-        for k, (piece, row) in enumerate(zip(rows["piece"].to_pylist(), rows["row"].to_pylist())):
-            first = seen.setdefault(piece, k)
-            (gone if first != k and (self.within or row != rows["row"][first].as_py()) else kept).append(k)
-        self.copies(rows, gone)
-        rows = rows.take(kept)
-        if self.split and len(kept) > self.limit:
-            self.crowded = rows["key"][0].as_py()
-            yield from self.windows(rows)
-            rows = rows.slice(0, 0)
-        self.open = rows
+    def different(self, rows: pa.Table) -> pa.Table:
+        """The texts that differ, each at its least place; the windows of their copies all occur before.
+
+        Without ``within``, copies in the row of that place stay.
+        """
+        if len(rows) < 2:
+            return rows
+        key, row, piece = rows["key"].to_numpy(), rows["row"].to_numpy(), rows["piece"].chunk(0)
+        new = np.r_[True, (key[1:] != key[:-1]) | ~pc.equal(piece[1:], piece[:-1]).to_numpy(zero_copy_only=False)]
+        if not self.within:
+            new |= row == row[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        self.copies(rows, np.flatnonzero(~new))
+        return rows.filter(pa.array(new)).combine_chunks()
 
     def windows(self, rows: pa.Table):
         """Each window as a text of its own (kind 2), under its own hash."""
@@ -368,7 +368,9 @@ class _Solver:
                 more = rows["key"].to_numpy() == self.crowded
                 yield from self.windows(rows.filter(pa.array(more)))
                 rows = rows.filter(pa.array(~more))
-            rows = (rows if self.open is None else pa.concat_tables([self.open, rows])).combine_chunks()
+            rows = self.different((rows if self.open is None else pa.concat_tables([self.open, rows])).combine_chunks())
+            if not len(rows):
+                continue
             key = rows["key"].to_numpy()
             edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
             done = 0
@@ -380,11 +382,12 @@ class _Solver:
                 self.solve(rows.slice(done, stop - done))
                 done = stop
             self.open = rows.slice(done)
-            last = len(rows) - int(edges[-1])
-            if last > self.limit and done < edges[-1]:
-                self.solve(rows.slice(done, int(edges[-1]) - done))
-            if last > self.limit:
-                yield from self.shorten(rows.slice(int(edges[-1])))
+            if self.split and len(rows) - int(edges[-1]) > self.limit:
+                if done < edges[-1]:
+                    self.solve(rows.slice(done, int(edges[-1]) - done))
+                self.crowded = int(key[-1])
+                yield from self.windows(rows.slice(int(edges[-1])))
+                self.open = None
             if sum(len(r[0]) for r in self.runs) > 200_000:
                 yield from self.flush()
         if self.open is not None and len(self.open):
