@@ -3,18 +3,23 @@
 Every shard of documents gets a suffix array over its words, ordered to the depth of a window. Each
 test suffix (a 13-word window of an item, or a whole shorter item) is looked up by binary search,
 which gives all its verbatim places; hashes order the words and the bytes of every match are compared.
-
-The test windows travel to the tasks in blocks of at most ``BLOCK_BYTES`` of item text, so what is
-sent has a fixed bound however many items there are. Null texts have no words: null documents are
-clean, items with a null text match nothing. Items with a null item_id are searched like all others; in
-n_items they count as one item, in items_sha256 they have no name. Rows that repeat a doc_id each get a
-row (with more than one block, they count as one document). Repeated item_ids count once. Empty tables:
-no rows, or only clean ones.
+Matches that go on word by word are followed to their ends: the longest one of a document is given with
+its place there and in the item.
+
+The items are dealt into blocks of about ``BLOCK_BYTES`` of text, written to the shared folder. A task
+builds the array of a shard once and looks up one block after another, so the documents are read once
+however many items there are, and memory holds one shard and one block (or the longest single text).
+
+Null texts have no words: null documents are clean, items with a null text match nothing. Items with a
+null item_id are searched like all others; in n_items they count as one item, in items_sha256 they have
+no name. Repeated items count once. Every row of ``docs`` gives a row, whatever its doc_id. Of several
+longest matches the first in the document counts, and the least item name. Other columns are left out,
+whatever their names. Empty tables: no rows, or only clean ones.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import Prefix, same_bytes, spans
-from .common import ROW, column, cut, numbered, only, slices, text_bytes
+from .common import PART_BITS, ROW, SideTables, column, numbered, only, open_fs, packed, shared_dir, shuffles, slices, text_bytes
 
 WINDOW, BLOCK_BYTES, SHARD_BYTES = 13, 4 << 20, 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,25 +54,32 @@ class Words:
 
 
 class TestWindows:
-    """The distinct windows of some items and the items that each belongs to."""
+    """The distinct windows of some items, compared by their bytes, and where the items have them."""
 
     def __init__(self, item_ids: list[str | None], texts: list[str | None], width: int = WINDOW):
         self.words = Words(pa.array(texts, pa.large_string()))
-        w, item, at, length = self.words, [], [], []
+        w, item, nth, length = self.words, [], [], []
         for t, n in enumerate(w.n.tolist()):
             count = n - width + 1 if n > width else min(n, 1)
             item.append(np.full(count, t))
-            at.append(w.firsts[t] + t + np.arange(count))
+            nth.append(np.arange(count))
             length.append(np.full(count, min(n, width)))
         self.item_ids = item_ids
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        item, at, length = join(item), join(at), join(length)
-        grid = self.words.sequence[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.uint64)
+        self.item, self.nth, length = join(item), join(nth), join(length)
+        at = w.firsts[self.item] + self.item + self.nth
+        # Words are numbered by their bytes, so different windows stay apart even if their hashes agree.
+        numbers: dict[bytes, int] = {}
+        raw, ids = w.raw.tobytes(), np.zeros(len(w.sequence), np.int64)
+        ids[w.place] = [numbers.setdefault(raw[x:y], len(numbers) + 1) for x, y in zip(w.starts.tolist(), w.ends.tolist())]
+        grid = ids[at[:, None] + np.arange(width)]
         grid[np.arange(width) >= length[:, None]] = 0
-        self.grid, first, self.of = np.unique(grid, axis=0, return_index=True, return_inverse=True) if len(at) else (grid, at, at)
-        self.of = self.of.ravel()
+        _, first, of = np.unique(grid, axis=0, return_index=True, return_inverse=True) if len(at) else (grid, at, at)
+        self.of = of.ravel()  # the distinct window of every window of every item
         self.length, self.at = length[first], at[first]
-        pairs = np.unique(np.stack([self.of, item], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        self.grid = w.sequence[self.at[:, None] + np.arange(width)]
+        self.grid[np.arange(width) >= self.length[:, None]] = 0
+        pairs = np.unique(np.stack([self.of, self.item], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
         self.items = pairs[:, 1]
         self.items_from = np.searchsorted(pairs[:, 0], np.arange(len(self.grid) + 1))
 
@@ -111,12 +123,10 @@ def lookup(sequence: np.ndarray, order: np.ndarray, grid: np.ndarray, length: np
     return bound(False), bound(True)
 
 
-def matches(docs: Words, test: TestWindows) -> tuple[np.ndarray, np.ndarray]:
-    """(test window, position in the documents' sequence) of every verbatim place."""
-    n = len(docs.sequence) - WINDOW
-    if not len(docs.starts) or not len(test.grid):
+def matches(docs: Words, test: TestWindows, order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(test window, position in the documents' sequence) of every verbatim place; ``order``: the suffix array."""
+    if order is None or not len(test.grid):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = suffix_array(docs.sequence, n)
     low, high = lookup(docs.sequence, order, test.grid, test.length)
     count = high - low
     window = np.repeat(np.arange(len(count)), count)
@@ -136,100 +146,220 @@ def matches(docs: Words, test: TestWindows) -> tuple[np.ndarray, np.ndarray]:
     return window[good], at[good]
 
 
+def longest(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """For each place of ``ours`` the length of the longest run that stands in ``theirs`` too.
+
+    Zeros separate and match nothing. Both are sorted as suffixes of one sequence, by doubling; the best
+    partner of a suffix is the next one of ``theirs`` before or after it.
+    """
+    both = np.concatenate([theirs, [0], ours, [0]]).astype(np.int64)
+    both[both == 0] = -np.arange(1, np.count_nonzero(both == 0) + 1)
+    ranks = [np.unique(both, return_inverse=True)[1].astype(np.int64)]
+    while (step := 1 << len(ranks) - 1) < len(ours):
+        ahead = np.zeros_like(both)
+        ahead[:-step] = ranks[-1][step:] + 1
+        ranks.append(np.unique(ranks[-1] * (len(both) + 1) + ahead, return_inverse=True)[1].astype(np.int64))
+        if ranks[-1].max() == len(both) - 1:
+            break
+    order = np.argsort(ranks[-1], kind="stable")
+    spots = np.arange(len(order))
+    before = np.maximum.accumulate(np.where(order < len(theirs), spots, -1))
+    after = np.minimum.accumulate(np.where(order < len(theirs), spots, len(order))[::-1])[::-1]
+    size = np.zeros(len(ours), np.int64)
+    mine = np.flatnonzero((order > len(theirs)) & (order < len(both) - 1))
+    for side in (before, after):
+        some = mine[(side[mine] >= 0) & (side[mine] < len(order))]
+        a, b = order[some], order[side[some]]
+        common = np.zeros(len(some), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            x, y = a + common, b + common
+            same = (x < len(both)) & (y < len(both))
+            same[same] = ranks[k][x[same]] == ranks[k][y[same]]
+            common[same] += 1 << k
+        own = a - len(theirs) - 1
+        size[own] = np.maximum(size[own], common)
+    return size
+
+
+def longest_matches(words: Words, test: TestWindows, window: np.ndarray, at: np.ndarray) -> dict[int, tuple]:
+    """Text -> (words, place in the text, item, place in the item) of its longest verbatim match."""
+    length = test.length[window]
+    whole = np.flatnonzero(length == WINDOW)
+    if len(whole):
+        whole = whole[np.argsort(at[whole])]
+        w, a = window[whole], at[whole]
+        # Windows that follow one another in a text; in the items only those that occur here matter.
+        spot = np.arange(len(a)) + np.cumsum(np.r_[False, np.diff(a) != 1])
+        ours = np.zeros(int(spot[-1]) + 1, np.int64)
+        ours[spot] = w + 1
+        used = np.flatnonzero(np.isin(test.of, w))
+        there = np.arange(len(used)) + np.cumsum(np.r_[False, (np.diff(used) != 1) | (np.diff(test.item[used]) != 0)])
+        theirs = np.zeros(int(there[-1]) + 1, np.int64)
+        theirs[there] = test.of[used] + 1
+        length[whole] = longest(ours, theirs)[spot] + WINDOW - 1
+    text = words.text_at[at]
+    order = np.lexsort((at, -length, text))
+    heads = order[np.r_[True, text[order][1:] != text[order][:-1]]]
+    by_window = np.argsort(test.of, kind="stable")
+    froms = np.searchsorted(test.of[by_window], np.arange(len(test.grid) + 1))
+    window_at = dict(zip(at[whole].tolist(), window[whole].tolist()))
+    best = {}
+    for h in heads.tolist():
+        t, n, place, w = int(text[h]), int(length[h]), int(at[h]), int(window[h])
+        found = by_window[froms[w] : froms[w + 1]]
+        if test.length[w] == WINDOW and n > WINDOW:
+            steps = np.arange(n - WINDOW + 1)
+            found = found[found + steps[-1] < len(test.of)]
+            want = np.array([window_at[place + k] for k in steps.tolist()])
+            found = found[(test.item[found + steps[-1]] == test.item[found]) & (test.of[found[:, None] + steps] == want).all(1)]
+        ends = [(test.item_ids[test.item[i]] is None, test.item_ids[test.item[i]] or "", int(test.nth[i])) for i in found.tolist()]
+        unnamed, name, nth = min(ends)
+        best[t] = (n, place - int(words.firsts[t]) - t, None if unnamed else name, nth)
+    return best
+
+
 def by_name(items) -> list[str | None]:
     """Item ids in order, null last."""
     return sorted(items, key=lambda i: (i is None, i or ""))
 
 
-_OUT = "doc_id long, n_words long, hits array<struct<low:long,high:long>>, items array<string>"
+_BLOCKS: dict[str, TestWindows] = {}
+
+
+def _block(uri: str) -> TestWindows:
+    """A block of items; a process keeps the last one."""
+    if uri not in _BLOCKS:
+        fs, path = open_fs(uri)
+        with fs.open_input_stream(path) as file:
+            table = pa.ipc.open_stream(file.read()).read_all()
+        _BLOCKS.clear()
+        _BLOCKS[uri] = TestWindows(table["item_id"].to_pylist(), table["text"].to_pylist())
+    return _BLOCKS[uri]
+
+
+def blocks(benchmark: DataFrame, limit: int) -> list[str]:
+    """Files of items, each of about ``limit`` bytes of text (an item stays whole)."""
+    items = only(benchmark, item_id="string", text="string").where(F.octet_length("text") > 0).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    n, folder = 1 + total // limit, shared_dir(benchmark.sparkSession, "items")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+
+    def write(batches):
+        now, some = None, []
+
+        def put():
+            uri = f"{folder}/{now:06d}-{uuid.uuid4().hex}.arrow"
+            fs, path = open_fs(uri)
+            fs.create_dir(open_fs(folder)[1], recursive=True)
+            with fs.open_output_stream(path) as out, pa.ipc.new_stream(out, some[0].schema) as stream:
+                for batch in some:
+                    stream.write_batch(batch)
+            return pa.RecordBatch.from_pydict({"uri": [uri]})
+
+        for batch in batches:
+            block = column(batch, "block").to_numpy()
+            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    if some and block[a] != now:
+                        yield put()
+                        some = []
+                    now = int(block[a])
+                    some.append(batch.slice(a, b - a))
+        if some:
+            yield put()
+
+    written = dealt.repartition(min(n, shuffles(benchmark.sparkSession)), "block").sortWithinPartitions("block", "item_id", "text").mapInArrow(write, "uri string")
+    return sorted(r.uri for r in written.collect())  # a file name for some megabytes of items
+
+
+_OUT = "doc_id long, n_words long, hits array<struct<low:long,high:long>>, items array<string>, longest_match long, match_at long, match_item string, match_item_at long"
 _HITS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
 
-def _found(docs: DataFrame, test: TestWindows) -> DataFrame:
-    """Per row: words, covered runs of words, and items with windows, for one block of items."""
+def locate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, covered runs of words (``hits``), matching ``items`` and the longest match of every row."""
+    uris = blocks(benchmark, limit)
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "text", SHARD_BYTES):
                 words = Words(column(piece, "text"))
-                window, at = matches(words, test)
+                base = words.firsts[:-1] + np.arange(len(words.n))
+                order = suffix_array(words.sequence, len(words.sequence) - WINDOW) if uris and len(words.starts) else None
                 edge = np.zeros(len(words.sequence) + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + test.length[window], -1)
+                items: dict[int, set] = {}
+                best: dict[int, tuple] = {}
+                for uri in uris:
+                    test = _block(uri)
+                    window, at = matches(words, test, order)
+                    if not len(at):
+                        continue
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + test.length[window], -1)
+                    for t, w in np.unique(np.stack([words.text_at[at], window], 1), axis=0).tolist():
+                        items.setdefault(t, set()).update(test.item_ids[i] for i in test.items[test.items_from[w] : test.items_from[w + 1]].tolist())
+                    for t, found in longest_matches(words, test, window, at).items():
+                        rank = lambda m: (-m[0], m[1], m[2] is None, m[2] or "", m[3])
+                        best[t] = min(best.get(t, found), found, key=rank)
                 covered = np.r_[False, np.cumsum(edge)[: len(words.sequence)] > 0, False]
                 low, high = np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
-                base = words.firsts[:-1] + np.arange(len(words.n))
                 of = words.text_at[low] if len(low) else low
-                pairs = np.unique(np.stack([words.text_at[at], window], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
                 hits: dict[int, list] = {}
                 for t, a, b in zip(of.tolist(), (low - base[of]).tolist(), (high - base[of]).tolist()):
                     hits.setdefault(t, []).append({"low": a, "high": b})
-                items: dict[int, set] = {}
-                for t, w in pairs.tolist():
-                    items.setdefault(t, set()).update(test.item_ids[i] for i in test.items[test.items_from[w] : test.items_from[w + 1]].tolist())
-                rows = range(len(piece))
+                rows, none = range(len(piece)), (0, None, None, None)
+                match = list(zip(*(best.get(t, none) for t in rows))) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [column(piece, "doc_id"), pa.array(words.n, pa.int64()), pa.array([hits.get(t, []) for t in rows], _HITS), pa.array([by_name(items.get(t, ())) for t in rows], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "hits", "items"],
-                )
-
-    return docs.mapInArrow(run, _OUT)
-
+                    [column(piece, "doc_id"), pa.array(words.n, pa.int64()), pa.array([hits.get(t, []) for t in rows], _HITS), pa.array([by_name(items.get(t, ())) for t in rows], pa.list_(pa.string())),
+                     *(pa.array(m, k) for m, k in zip(match, (pa.int64(), pa.int64(), pa.string(), pa.int64())))],
+                    names=["doc_id", "n_words", "hits", "items", "longest_match", "match_at", "match_item", "match_item_at"],
+                )
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
-    """The items in blocks of about ``limit`` bytes of text, each small enough to send to every task."""
-    items = only(benchmark, item_id="string", text="string")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-total // limit) or 1
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id or "", r.text or ""))
-        yield TestWindows([r.item_id for r in rows], [r.text for r in rows])
-
-
-def _merge(batches):
-    """Covered runs and items of several blocks, made one."""
-    for batch in batches:
-        hits = []
-        for runs in column(batch, "hits").to_pylist():
-            merged: list[dict] = []
-            for run in sorted((r for part in runs for r in part), key=lambda r: r["low"]):
-                if merged and run["low"] <= merged[-1]["high"]:
-                    merged[-1]["high"] = max(merged[-1]["high"], run["high"])
-                else:
-                    merged.append(dict(run))
-            hits.append(merged)
-        items = [by_name({i for part in parts for i in part}) for parts in column(batch, "items").to_pylist()]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_words"), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"])
-
-
-def locate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, covered runs of words (``hits``) and matching ``items`` of every document."""
-    docs = only(docs, doc_id="long", text="string")
-    parts = [_found(docs, test) for test in blocks(benchmark, limit)]
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    grouped = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
-    return grouped.mapInArrow(_merge, _OUT)
+    return only(docs, doc_id="long", text="string").mapInArrow(run, _OUT)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The contract's columns for every document, and its longest covered run of words."""
+    """The contract's columns for every row, and its longest verbatim match with the places."""
     found = locate(docs, benchmark, limit)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["high"] - r["low"])
-    longest = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: F.greatest(n, r["high"] - r["low"]))
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        longest.alias("longest_hit"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        (F.size("hits") > 0).alias("hit"), "longest_match", "match_at", "match_item", "match_item_at",
+    ).withColumn("contaminated", F.col("hit") & (20 * F.col("n_hit") >= F.col("n_words"))).drop("hit")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, each judged by its own text, whatever its doc_id."""
-    rows = numbered(docs)
-    bad = cut(contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(ROW)), "contaminated")
-    return rows.join(bad, ROW, "left_anti").select(docs.columns)
+    """The rows of ``docs`` without a verbatim match of a window's words or more, and not contaminated.
+
+    A short item (of fewer words than a window) alone removes a document only where it covers a twentieth
+    of the words. Each row is judged by its own text, whatever its doc_id; ties and repeated rows are judged
+    alike. Rows with null or empty texts stay. All columns stay. An empty table gives no rows, and an empty
+    benchmark removes none.
+    """
+    rows, names = numbered(docs), docs.columns
+    found = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark)
+    bad = found.where(F.col("contaminated") | (F.col("longest_match") >= WINDOW))
+    tables = SideTables.write(bad.select("doc_id").mapInArrow(_by_part, "part long, data binary"), 1, "contaminated")
+
+    def keep(batches):
+        part, gone = None, None
+        for batch in batches:
+            row, stay = column(batch, ROW).to_numpy(), np.ones(len(batch), bool)
+            for p in np.unique(row >> PART_BITS).tolist():
+                if p != part:
+                    part, gone = p, tables.of(p)[0]
+                stay &= ~np.isin(row, gone)
+            yield batch.filter(pa.array(stay)).select(names)
+
+    return rows.mapInArrow(keep, docs.schema)
+
+
+def _by_part(batches):
+    """Row numbers as (part, data)."""
+    for batch in batches:
+        rows = column(batch, "doc_id").to_numpy()
+        of = rows >> PART_BITS
+        parts = np.unique(of)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([packed(rows[of == p]) for p in parts.tolist()], pa.binary())], names=["part", "data"])

@@ -19,15 +19,22 @@ FROM d LEFT JOIN lists USING (doc_id)"""
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_PLAIN.format(_LOWER)} AS w FROM documents),
   b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_PLAIN.format(_LOWER)} AS w FROM benchmark),
-  win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS s FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i) WHERE len(w) > 0),
+  inst AS (SELECT b.*, row_number() OVER () AS item FROM b WHERE len(w) > 0),
+  spots AS (SELECT item, item_id, j, least(len(w), 13) AS n, array_to_string(w[j:j + 12], ' ') AS s FROM inst, LATERAL (SELECT unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS j)),
+  win AS (SELECT DISTINCT item_id, n, s FROM spots),
   sizes AS (SELECT DISTINCT n FROM win),
   places AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
   m AS (SELECT DISTINCT doc_id, i, n, item_id FROM places JOIN win USING (s, n)),
   hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+  pairs AS (SELECT doc_id, item, item_id, n, i, j, i - row_number() OVER (PARTITION BY doc_id, item, n, i - j ORDER BY i) AS run FROM places JOIN spots USING (s, n)),
+  verbatim AS (SELECT doc_id, item_id, min(i) - 1 AS spot, min(j) - 1 AS item_at, count(*) + n - 1 AS size FROM pairs WHERE n = 13 GROUP BY doc_id, item, item_id, n, i - j, run
+    UNION ALL SELECT doc_id, item_id, i - 1, 0, n FROM pairs WHERE n < 13),
+  best AS (SELECT doc_id, size, spot, item_id, item_at FROM verbatim QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, spot, item_id NULLS LAST, item_at) = 1),
   items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(size, 0) AS BIGINT) AS longest_match, CAST(spot AS BIGINT) AS match_at, best.item_id AS match_item, CAST(item_at AS BIGINT) AS match_item_at
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 _RATIOS = "[{'r': 'word_len', 'v': 100 * word_chars // n_words}, {'r': 'symbols', 'v': 1000 * n_symbols // n_words}, {'r': 'dup_lines', 'v': 1000 * n_dup_lines // n_lines}, {'r': 'repeats', 'v': 1000 * n_repeat_words // n_words}]"
 

@@ -5,10 +5,13 @@ lengths (at most ``capacity`` counts, whatever the corpus) and the plan is one l
 with multiplicities. Bins are filled greedily, largest piece that fits first; then a bin's smallest
 piece gives way to two unpacked pieces that fill the widened gap more tightly. Pieces find their
 place by their rank among pieces of their length: ranks are counted per written partition and
-shifted by counts per (partition, length), so no task holds all pieces of a hot length.
+shifted by counts per (partition, length), which go to the tasks that read the partition, so no task
+holds all pieces of a hot length and nothing is broadcast but the plan.
 
-Null texts are empty (the end id alone). Rows with equal doc_id are packed each on its own. An
-empty table gives no rows.
+Null texts are empty (the end id alone). Rows with equal doc_id, or without one, are packed each on its
+own, and ties between pieces of one length do not change how many sequences there are. Very long texts
+are cut as the contract says. Other columns are left out, whatever their names. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, only, slices
-from .tokens import RunEncoder
+from .common import SideTables, column, cut, only, packed, release, slices
+from .tokens import encoder
 
-CAPACITY = 2048
+CAPACITY, _RANK_BITS = 2048, 48
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -104,49 +107,60 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """Pieces of every document with their rank (``place``) among equal lengths of the partition."""
 
     def encode(batches):
-        encoder, part, seen = RunEncoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
+        tokens, part, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for some in slices(batch, "text"):
                 rows = []
-                ids, counts = encoder.encode(column(some, "text").fill_null("").to_pylist())
-                ends = np.cumsum(counts)
-                for doc_id, count, end in zip(column(some, "doc_id").to_pylist(), counts, ends):
-                    own = np.append(ids[end - count : end], np.uint32(end_id)).astype("<u4")
-                    for k, start in enumerate(range(0, len(own), capacity)):
-                        piece = own[start : start + capacity]
-                        rows.append((doc_id, k, start, len(piece), zlib.crc32(piece.tobytes()), part, seen[len(piece)]))
-                        seen[len(piece)] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+                ids, ends = tokens.with_end(column(some, "text"), end_id)
+                data = memoryview(ids.astype("<u4").view(np.uint8))
+                ends = ends.tolist()
+                for doc_id, low, high in zip(column(some, "doc_id").to_pylist(), [0, *ends], ends):
+                    for k, start in enumerate(range(low, high, capacity)):
+                        stop = min(start + capacity, high)
+                        rows.append((doc_id, k, start - low, stop - start, zlib.crc32(data[4 * start : 4 * stop]), part, seen[stop - start]))
+                        seen[stop - start] += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
     return only(docs, doc_id="long", text="string").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Pieces of all documents with the sequence and the offset that each is packed at."""
-    spark = docs.sparkSession
     pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     per_part = cut(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    before = per_part.select(
-        "part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")
-    )
-    # One row per pattern slot: at most a few times the capacity, however many pieces there are.
-    slots = spark.createDataFrame(
-        plan_rows(plan_bins(histogram, capacity)),
-        "length long, low long, high long, bin long, per_bin long, nth long, offset long",
-    )
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
-    table = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "nth", "high", "bin", "per_bin", "offset"))).alias("slots"))
-    found = F.filter(
-        "slots",
-        lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") <= s["high"]) & (F.pmod(F.col("rank") - s["low"], s["per_bin"]) == s["nth"]),
-    )
-    return (
-        ranked.join(F.broadcast(table), "length")
-        .withColumn("slot", found[0])
-        .select(
-            "doc_id", "piece", "start", "length", "ids_crc32",
-            (F.col("slot.bin") + F.floor((F.col("rank") - F.col("slot.low")) / F.col("slot.per_bin")).cast("long")).alias("sequence_id"),
-            F.col("slot.offset").alias("offset"),
-        )
-    )
+    by_length = Window.partitionBy("length").orderBy("part")
+    shifts = per_part.select("part", F.struct("length", (F.sum("n").over(by_length) - F.col("n")).alias("before")).alias("shift"))
+    tables = SideTables.write(shifts.groupBy("part").agg(F.collect_list("shift").alias("shifts")).mapInArrow(_shifts, "part long, data binary"), 2, "shifts")
+    release(per_part)
+    # At most a few times the capacity, however many pieces there are.
+    slots = np.array(sorted((size, low, nth, high, first, own, offset) for size, low, high, first, own, nth, offset in plan_rows(plan_bins(histogram, capacity))), np.int64).reshape(-1, 7)
+    keys = (slots[:, 0] << _RANK_BITS) | slots[:, 1]
+
+    def place(batches):
+        own, before = None, None
+        for batch in batches:
+            part, length, rank = (column(batch, c).to_numpy().astype(np.int64) for c in ("part", "length", "place"))
+            rank = rank.copy()
+            for p in np.unique(part).tolist():
+                if p != own:
+                    own, before = p, np.zeros(capacity + 1, np.int64)
+                    sizes, counts = tables.of(p)
+                    before[sizes] = counts
+                rank[part == p] += before[length[part == p]]
+            # The last slots that begin at or before the rank; those of one begin follow one another.
+            at = np.searchsorted(keys, (length << _RANK_BITS) | rank, side="right") - 1
+            group = np.searchsorted(keys, keys[at])
+            nth = (rank - slots[group, 1]) % slots[group, 5]
+            row = slots[group + nth]
+            sequence = row[:, 4] + (rank - row[:, 1]) // row[:, 5]
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(sequence), pa.array(row[:, 6])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return pieces.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _shifts(batches):
+    for batch in batches:
+        data = [packed(*(np.array([s[k] for s in own], np.int64) for k in ("length", "before"))) for own in column(batch, "shifts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([column(batch, "part").cast(pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])

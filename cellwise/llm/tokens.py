@@ -2,8 +2,9 @@
 
 A space followed by a character that is not white space starts a new pre-token in both public
 vocabularies used here, so a text's ids are the ids of the runs between such places, in order.
-The tokenizers library encodes every distinct run; repeats are looked up. Tests hold the result
-against encoding whole texts.
+The tokenizers library encodes every distinct run; repeats are looked up. A text that holds one of the
+vocabulary's special tokens is encoded by the library as a whole: it takes such a token out first, as one
+id, wherever it stands. Tests hold the result against a tokenizer fresh from its file, on whole texts.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
-_MAX_RUNS, _MAX_CHARS, _JOIN = 1_000_000, 48_000_000, 2000
+_MAX_RUNS, _MAX_CHARS, _JOIN = 600_000, 32_000_000, 2000
 #: Fixed values of the two public vocabularies: how they cut a text into words before merging.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LOWER_CASE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,7 +55,9 @@ class RunEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with this may hold an added token (None: there are none): what all begin with, up to the first letter.
+        self._mark = re.match(r"[^\w]*", os.path.commonprefix(added))[0] if added else None
         self._letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
         self._newline = _byte_letters()[10]
         self._words, self._lower = None, False
@@ -139,6 +143,19 @@ class RunEncoder:
         self.pieces.pending = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one row, and the number of ids of each text."""
+        marked = [] if self._mark is None else [k for k, t in enumerate(texts) if self._mark in t]
+        if not marked:
+            return self._encode(texts)
+        plain = [k for k in range(len(texts)) if k not in set(marked)]
+        ids, counts = self._encode([texts[k] for k in plain])
+        parts = dict(zip(plain, np.split(ids, np.cumsum(counts)[:-1]))) if plain else {}
+        for k in marked:
+            parts[k] = np.asarray(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        each = [parts[k] for k in range(len(texts))]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one row, and the number of ids of each text."""
         if len(self.memo) > _MAX_RUNS or self.chars > _MAX_CHARS:
             self._reset()
@@ -162,3 +179,19 @@ class RunEncoder:
         ids = self.flat[np.repeat(self.starts[which] - before, counts) + np.arange(total)]
         ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(runs)]
         return ids, np.diff(ends)
+
+    def with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each with the end id behind, and the place after each text's."""
+        ids, counts = self.encode(texts.fill_null("").to_pylist())
+        ends = np.cumsum(counts)
+        return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+
+
+_ENCODERS: dict[str, RunEncoder] = {}
+
+
+def encoder(path: str) -> RunEncoder:
+    """The process's encoder of a file: tasks that follow one another in a worker share what it has learnt."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = RunEncoder(path)
+    return _ENCODERS[path]
