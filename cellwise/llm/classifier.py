@@ -8,9 +8,12 @@ labels, turns the difference into a probability.
 
 Labels are read only from rows whose crc32(doc_id as text) mod 3 is not 1. The model is fitted on a
 bounded sample of those (``PER_CLASS`` documents of each label, ``SAMPLE_BYTES`` of text at most from
-each, chosen by a hash of the id); every document is scored over its whole text. Null texts count as
-empty. Empty texts get the score of a difference of zero. Rows with a null doc_id are scored and
-count as not held out. When there is too little text of a label to train on, every score is 0.5.
+each, chosen by a hash of the id); every document is scored over its whole text, however long. Null
+texts count as empty. Empty texts get the score of a difference of zero. Rows with a null doc_id are
+scored and count as not held out. A doc_id with labels of both kinds teaches nothing; one that stands on
+several rows of ``docs`` gives the least of their texts. When there is too little text of a label to train
+on, every score is 0.5. Every row is scored, equal texts alike; other columns are left out, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,13 +88,13 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     """Fit on the bounded sample described above."""
     labels = only(labels, doc_id="long", quality="int").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
-    parts = [
-        labels.where(F.col("quality") == q).groupBy("doc_id").agg(F.first("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
-        for q in (1, 0)
-    ]
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
+    parts = [labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for q in (1, 0)]
     chosen = parts[0].unionByName(parts[1])
     text = only(docs, doc_id="long", text="string").where(F.octet_length("text") > 0)
-    rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("text")).collect()
+    start = F.substring(F.col("text"), 1, SAMPLE_BYTES)
+    # One text for each of at most 2 * PER_CLASS ids, however many rows have the id.
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(start).alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     texts = {q: [r.text.encode()[:SAMPLE_BYTES] for r in rows if r.quality == q] for q in (0, 1)}
     made = {q: t[0::2] or t for q, t in texts.items()}
@@ -125,7 +128,11 @@ def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """The rows of ``docs``, all their columns, that the model takes for good."""
+    """The rows of ``docs``, all their columns, that the model takes for good.
+
+    Each row is judged by its own text, whatever its doc_id: repeated rows and equal texts stay or go
+    together. Null and empty texts are judged alike. An empty table gives no rows.
+    """
 
     def run(batches):
         packers = model.packers() if model.good and model.bad else None

@@ -204,6 +204,19 @@ class SideTables:
             return unpacked(file.read(size)) or [np.zeros(0, np.int64)] * self.columns
 
 
+def by_part(row: str, *columns: str):
+    """For mapInArrow: row numbers, and whole numbers beside them, as (part, data)."""
+
+    def run(batches):
+        for batch in batches:
+            arrays = [column(batch, c).to_numpy(zero_copy_only=False) for c in (row, *columns)]
+            of = arrays[0] >> PART_BITS
+            parts = np.unique(of)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([packed(*(a[of == p] for a in arrays)) for p in parts.tolist()], pa.binary())], names=["part", "data"])
+
+    return run
+
+
 def shuffles(spark: SparkSession) -> int:
     """The number of partitions that the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

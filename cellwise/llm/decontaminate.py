@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import Prefix, same_bytes, spans
-from .common import PART_BITS, ROW, SideTables, column, numbered, only, open_fs, packed, shared_dir, shuffles, slices, text_bytes
+from .common import PART_BITS, ROW, SideTables, by_part, column, numbered, only, open_fs, shared_dir, shuffles, slices, text_bytes
 
 WINDOW, BLOCK_BYTES, SHARD_BYTES = 13, 4 << 20, 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -341,7 +341,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, names = numbered(docs), docs.columns
     found = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark)
     bad = found.where(F.col("contaminated") | (F.col("longest_match") >= WINDOW))
-    tables = SideTables.write(bad.select("doc_id").mapInArrow(_by_part, "part long, data binary"), 1, "contaminated")
+    tables = SideTables.write(bad.select("doc_id").mapInArrow(by_part("doc_id"), "part long, data binary"), 1, "contaminated")
 
     def keep(batches):
         part, gone = None, None
@@ -355,11 +355,3 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     return rows.mapInArrow(keep, docs.schema)
 
-
-def _by_part(batches):
-    """Row numbers as (part, data)."""
-    for batch in batches:
-        rows = column(batch, "doc_id").to_numpy()
-        of = rows >> PART_BITS
-        parts = np.unique(of)
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([packed(rows[of == p]) for p in parts.tolist()], pa.binary())], names=["part", "data"])

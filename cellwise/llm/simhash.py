@@ -2,23 +2,27 @@
 
 A fingerprint is embedded as the bit counts of 32 two-bit segments. The Manhattan distance of two
 embeddings never exceeds the Hamming distance of the fingerprints, so links lie within Manhattan
-distance 4. The segments form seven groups: at most four of them can differ, so two linked
-fingerprints agree in the counts of some three groups. Each fingerprint enters the 35 grid cells that
-its triples of groups name; members of a cell are verified by their Hamming distance.
+distance 4: a range join in 32 dimensions. Its grid: the segments form G groups, of which at most four can
+differ within that distance, so two linked fingerprints have equal counts in some G - 4 groups. Each
+fingerprint enters one cell for every choice of G - 4 groups; of the members of a cell, those within
+Manhattan distance 4 are verified by their Hamming distance. G grows with the number of different
+fingerprints (7 to 12), so that cells stay small; any G gives the same links.
 
 Within a cell only a spanning forest of the links is kept: a search removes every member it reaches,
 so a tight cluster costs about one comparison a member and never lists its pairs. Cells of more than
 ``CELL`` different fingerprints are left out of the cells and linked through midpoints: two
 fingerprints differ in four bits or fewer exactly if some value is within two bits of both.
 
-Null texts have no words, like empty ones: fingerprint zero. A null doc_id takes part in links, but
-never names a component unless all of it is null. Rows that repeat a doc_id each get a row. An empty
-table gives no rows. ``keep_one`` decides row by row, whatever the ids.
+Null texts have no words, like empty ones: fingerprint zero. Very long texts are hashed whole. A null
+doc_id takes part in links, but never names a component unless all of it is null. Rows that repeat a
+doc_id each get a row. Other columns are left out, whatever their names. An empty table gives no rows.
+``keep_one`` decides row by row, whatever the ids.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, column, cut, numbered, only, slices
+from .bytesview import mix
+from .common import PART_BITS, ROW, SideTables, by_part, column, cut, numbered, only, release, slices
 from .components import components
 
 RADIUS, SHINGLE, SEED, CELL = 4, 4, 42, 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: The 32 segments in seven groups, and the triples of groups.
-GROUPS = np.array_split(np.arange(32), 7)
-TRIPLES = list(combinations(range(7), 3))
+_ODD = np.uint64(0x5555555555555555)
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -77,12 +80,46 @@ def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
     return only(docs, **casts).mapInArrow(run, ", ".join(f"{k} long" for k in ("doc_id", "fp", *keys)))
 
 
-def cell_keys(fp: np.ndarray) -> np.ndarray:
-    """The 35 grid cells of each fingerprint: a triple's number and its groups' segment counts."""
-    pairs = (fp[:, None] >> (2 * np.arange(32, dtype=np.uint64))) & np.uint64(3)
-    counts = np.bitwise_count(pairs).astype(np.int64)
-    codes = np.stack([counts[:, g] @ 3 ** np.arange(len(g)) for g in GROUPS], 1)
-    return np.stack([(n << 24) | (codes[:, a] << 16) | (codes[:, b] << 8) | codes[:, c] for n, (a, b, c) in enumerate(TRIPLES)], 1)
+def embedded(fp: np.ndarray) -> np.ndarray:
+    """The bit counts (0 to 2) of the 32 two-bit segments, each in the place of its segment."""
+    return (fp & _ODD) + ((fp >> np.uint64(1)) & _ODD)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The Manhattan distance of embeddings: counts differ by two where only the upper bit does, else by one or none."""
+    both = a ^ b
+    low = both & _ODD
+    return np.bitwise_count(low) + 2 * np.bitwise_count((both >> np.uint64(1)) & _ODD & ~low)
+
+
+def near_to(fp: np.ndarray, at: np.ndarray | np.uint64, radius: int = RADIUS) -> np.ndarray:
+    """Which fingerprints link with ``at``: the bound first, then the exact distance."""
+    near = manhattan(embedded(fp), embedded(at)) <= radius
+    some = np.flatnonzero(near)
+    other = at[some] if np.ndim(at) else at
+    near[some] = np.bitwise_count(fp[some] ^ other) <= radius
+    return near
+
+
+def grid(n: int) -> int:
+    """How many groups of segments suit ``n`` fingerprints: the least work in cells and comparisons."""
+
+    def work(groups: int) -> float:
+        cells, segments = comb(groups, RADIUS), 32 * (groups - RADIUS) / groups
+        return cells * (50 * n + n * n * 0.375**segments)  # two segments have equal counts with 3/8
+
+    return min(range(RADIUS + 3, RADIUS + 9), key=work)
+
+
+def cell_keys(fp: np.ndarray, groups: int = 7) -> np.ndarray:
+    """The grid cells of each fingerprint: hashes of a choice of groups and of its segment counts there."""
+    counts, out = embedded(fp), []
+    masks = [np.uint64(sum(3 << 2 * int(k) for k in g)) for g in np.array_split(np.arange(32), groups)]
+    for n, chosen in enumerate(combinations(masks, groups - RADIUS)):
+        mask = np.bitwise_or.reduce(chosen)
+        # The choice goes where segments are left out, so that different cells have different keys.
+        out.append(mix((counts & mask) ^ mix(np.full(len(fp), n + 1, np.uint64))).view(np.int64))
+    return np.stack(out, 1)
 
 
 def forest(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +129,7 @@ def forest(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
-            near = np.bitwise_count(left ^ at) <= radius
+            near = near_to(left, at, radius)
             if near.any():
                 found, left = left[near], left[~near]
                 a.append(np.full(len(found), at))
@@ -114,7 +151,7 @@ def _cell_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
         same = np.flatnonzero(k[shift:] == k[:-shift])
         if not len(same):
             break
-        near = same[np.bitwise_count(f[same] ^ f[same + shift]) <= RADIUS]
+        near = same[near_to(f[same], f[same + shift])]
         a.append(f[near])
         b.append(f[near + shift])
     for s, n in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist()):
@@ -145,13 +182,16 @@ def _verify(batches):
         yield _edges(*_cell_links(key, fp))
 
 
-def _cells(batches):
-    for batch in batches:
-        fp = column(batch, "fp").to_numpy()
-        for k in range(0, len(fp), 20_000):
-            part = fp[k : k + 20_000]
-            keys = cell_keys(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], names=["key", "fp"])
+def _cells(groups: int):
+    def run(batches):
+        for batch in batches:
+            fp = column(batch, "fp").to_numpy()
+            for k in range(0, len(fp), 5000):
+                part = fp[k : k + 5000]
+                keys = cell_keys(part.view(np.uint64), groups)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], names=["key", "fp"])
+
+    return run
 
 
 def _midpoints(batches):
@@ -166,7 +206,7 @@ def _midpoints(batches):
 
 def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (u, v) that connect exactly what links within the radius connect; ``fps`` is distinct."""
-    cells = fps.select("fp").mapInArrow(_cells, "key long, fp long")
+    cells = fps.select("fp").mapInArrow(_cells(grid(fps.count())), "key long, fp long")
     large = cut(cells.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell), "large-cells")
     hot = not large.isEmpty()
     if hot:
@@ -192,9 +232,11 @@ def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id for every row of ``docs``."""
     prints = cut(fingerprints(docs), "fingerprints")
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints")
-    joined = rooted(fps, cell)
-    named = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
+    joined = cut(rooted(fps, cell), "rooted")
+    # Least ids are taken before the exchange; the join itself may split a component of very many fingerprints.
+    named = cut(joined.groupBy("root").agg(F.min("doc").alias("component_id")), "named")
     classes = cut(joined.join(named, "root").select("fp", "component_id"), "classes")
+    release(fps, joined, named)
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -203,12 +245,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are numbered, so each is judged by its own text: of rows that share the least doc_id of a
     component the first by number stays, and a row with a null doc_id stays only if all of the
-    component's are null.
+    component's are null. Null texts, empty texts and texts without words have one fingerprint and so are
+    copies of each other. All columns stay. An empty table gives no rows.
     """
-    rows = numbered(docs)
+    rows, names = numbered(docs), docs.columns
     prints = cut(fingerprints(rows, ROW), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
     fps = cut(prints.groupBy("fp").agg(F.min(rank).alias("first")), "distinct-fingerprints")
-    kept = cut(rooted(fps).groupBy("root").agg(F.min("first").alias("first")).select(f"first.{ROW}"), "kept")
-    gone = prints.select(ROW).join(kept, ROW, "left_anti")
-    return rows.join(gone, ROW, "left_anti").select(docs.columns)
+    joined = cut(rooted(fps), "rooted")
+    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    tables = SideTables.write(kept.mapInArrow(by_part(ROW), "part long, data binary"), 1, "kept")
+    release(prints, fps, joined)
+
+    def keep(batches):
+        part, own = None, None
+        for batch in batches:
+            row, stay = column(batch, ROW).to_numpy(), np.zeros(len(batch), bool)
+            for p in np.unique(row >> PART_BITS).tolist():
+                if p != part:
+                    part, own = p, tables.of(p)[0]
+                stay |= np.isin(row, own)
+            yield batch.filter(pa.array(stay)).select(names)
+
+    return rows.mapInArrow(keep, docs.schema)

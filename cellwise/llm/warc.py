@@ -1,16 +1,21 @@
 """Operator 9: WARC archives, one gzip member per record, and their sequential reader.
 
-Records of equal payloads: the one with the smallest page_id is the ``response``, the others are
-``revisit`` records that name it. A payload below ``min_bytes`` is never revisited. Null html is an
-empty payload; a null url is written as ``urn:page:<id>``. Rows with a null page_id come before all
-others in the choice of the response (ties: one of them), and keep a null page_id. Rows that repeat
-a page_id stay separate records. An empty table gives no rows.
+Records of equal payloads: the first by (page_id, row), a null page_id before all others, is the
+``response``, the others are ``revisit`` records that name it. A payload below ``min_bytes`` is never
+revisited. So one row of each group of equal payloads is the response, also where page_ids repeat or are
+missing; every row stays a record of its own. Null html is an empty payload; a null url is written as
+``urn:page:<id>``. Very long pages are read and written in blocks of bounded size once compressed. Other
+columns are left out, whatever their names. An empty table gives no rows.
+
+Which rows are revisits goes back to the parts that hold them, so payloads are never shuffled, and what
+is grouped by payload is a digest and a place for each.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
 
@@ -20,9 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, cut, only, open_fs, shared_dir
+from .common import PART_BITS, ROW, SideTables, by_part, column, cut, numbered, only, open_fs, release, shared_dir
 
-BLOCK = 1 << 16
+BLOCK, HEAD = 1 << 16, 1 << 20
 
 
 def member(data: bytes, level: int = 6) -> bytes:
@@ -53,97 +58,104 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, block:
 class WarcReader:
     """Records of one archive in order, decompressed bit by bit.
 
-    The members are inflated one after another from a forward-only stream; the block's extent comes
-    from Content-Length, and the digest of every response is computed again and compared.
+    The members are inflated one after another from a forward-only stream. The headers end at the blank
+    line, the block has as many bytes as Content-Length says, and two line ends close the member. At most
+    ``block`` inflated bytes are held at a time. The digest of every response is computed again as its
+    bytes go by; a revisit must have an empty block, so its digest is the one that was stated.
+    Yields the headers, and the payload where ``payloads`` asks for it (else None).
     """
 
-    def __init__(self, stream, block: int = BLOCK):
-        self.stream, self.block, self.waiting = stream, block, b""
+    def __init__(self, stream, block: int = BLOCK, payloads: bool = True):
+        self.stream, self.block, self.payloads, self.waiting = stream, block, payloads, b""
 
-    def _members(self):
-        while True:
-            self.waiting = self.waiting or self.stream.read(self.block)
+    def _inflated(self):
+        """The bytes of the next member, some at a time; nothing at the end of the archive."""
+        self.waiting = self.waiting or self.stream.read(self.block)
+        if not self.waiting:
+            return
+        inflate = zlib.decompressobj(31)
+        while not inflate.eof:
             if not self.waiting:
-                return
-            inflate, parts = zlib.decompressobj(31), []
-            while not inflate.eof:
-                if not self.waiting and not (more := self.stream.read(self.block)):
+                self.waiting = self.stream.read(self.block)
+                if not self.waiting:
                     raise ValueError("the archive ends inside a gzip member")
-                parts.append(inflate.decompress(self.waiting or more))
-                self.waiting = inflate.unused_data if inflate.eof else b""
-            yield b"".join(parts)
+            data = inflate.decompress(self.waiting, self.block)
+            self.waiting = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+            yield data
 
     def __iter__(self):
-        for data in self._members():
-            head, mark, rest = data.partition(b"\r\n\r\n")
+        while True:
+            member_, head = self._inflated(), b""
+            for data in member_:
+                head += data
+                if b"\r\n\r\n" in head or len(head) > HEAD:
+                    break
+            if not head:
+                return
+            head, mark, rest = head.partition(b"\r\n\r\n")
             first, *lines = head.decode().split("\r\n")
             if not mark or not first.startswith("WARC/"):
                 raise ValueError("no WARC record where one must begin")
             headers = dict(line.split(": ", 1) for line in lines)
-            length = int(headers["Content-Length"])
-            if rest[length:] != b"\r\n\r\n":
+            left, sha, kept, tail = int(headers["Content-Length"]), hashlib.sha1(), [], b""
+            for data in itertools.chain([rest], member_):
+                own, after = data[:left], data[left:]
+                left -= len(own)
+                sha.update(own)
+                if self.payloads:
+                    kept.append(own)
+                tail += after[:5]
+            if left or tail != b"\r\n\r\n":
                 raise ValueError("a record's end is not where Content-Length puts it")
-            payload = rest[:length]
             if headers["WARC-Type"] == "response":
-                if f"sha1:{digest32(payload)}" != headers["WARC-Payload-Digest"] or length != int(headers["WARC-Payload-Length"]):
+                if f"sha1:{base64.b32encode(sha.digest()).decode()}" != headers["WARC-Payload-Digest"] or headers["Content-Length"] != headers["WARC-Payload-Length"]:
                     raise ValueError(f"the payload of {headers['WARC-Record-ID']} does not have its digest")
-            yield headers, payload
+            elif headers["Content-Length"] != "0":
+                raise ValueError(f"the revisit {headers['WARC-Record-ID']} has a payload of its own")
+            yield headers, b"".join(kept) if self.payloads else None
 
 
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-_PACKED = "page_id long, url string, sha string, payload_bytes long, member binary"
-
-
-def _pack(batches):
-    """Every page as the gzip member of its response record; what moves later is compressed."""
-    for batch in batches:
-        rows = []
-        for page_id, url, html in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "html"))):
-            payload = (html or "").encode()
-            sha = hashlib.sha1(payload).digest()
-            data = record("response", page_id, url, base64.b32encode(sha).decode(), payload, len(payload))
-            rows.append((page_id, url, sha.hex(), len(payload), member(data)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["page_id", "url", "sha", "payload_bytes", "member"])
-
-
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write archives, one per task; the manifest (uri, n) names those of committed tasks."""
-    pages = only(pages, page_id="long", url="string", html="string")
-    keys = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("key"))
-    shared = (
-        keys.groupBy("key").agg(F.count("*").alias("copies"), F.min("page_id").alias("first"), F.count_if(F.col("page_id").isNull()).alias("unnamed"))
-        .where("copies > 1")
-    )
-    # Response members are made before the exchange, so compressed bytes are what it carries.
-    packed = pages.mapInArrow(_pack, _PACKED)
-    linked = packed.join(shared, packed.sha == shared.key, "left").select(
-        "page_id", "url", "sha", "payload_bytes", "first",
-        ((F.col("copies").isNotNull()) & (F.col("payload_bytes") >= min_bytes) & (F.col("unnamed") == 0) & (F.col("page_id") != F.col("first"))).alias("again"),
-        "member",
-    )
+    pages = numbered(only(pages, page_id="long", url="string", html="string"))
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    keys = pages.select(ROW, "page_id", F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).alias("size")).where(F.col("size") >= min_bytes)
+    place = F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", ROW)
+    # One small row for each payload that several rows share; its copies find it, and skewed ones are split.
+    shared = keys.groupBy("sha").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first")
+    again = keys.join(shared, "sha").where(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW, F.col("first.named").alias("named"), F.coalesce("first.page_id", F.lit(0)).alias("first"))
+    tables = SideTables.write(again.mapInArrow(by_part(ROW, "named", "first"), "part long, data binary"), 3, "revisits")
 
     def write(batches):
         uri = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-        out, n = None, 0
+        out, n, part, refers = None, 0, None, {}
         for batch in batches:
-            for page_id, url, sha, size, first, again, data in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "sha", "payload_bytes", "first", "again", "member"))):
+            for row, page_id, url, html in zip(*(column(batch, c).to_pylist() for c in (ROW, "page_id", "url", "html"))):
                 if out is None:
                     fs, path = open_fs(uri)
                     fs.create_dir(open_fs(folder)[1], recursive=True)
                     out = fs.open_output_stream(path)
-                if again:
-                    data = member(record("revisit", page_id, url, base64.b32encode(bytes.fromhex(sha)).decode(), b"", size, first))
-                out.write(data)
+                if row >> PART_BITS != part:
+                    part = row >> PART_BITS
+                    rows, named, first = tables.of(part)
+                    refers = {r: f if k else None for r, k, f in zip(rows.tolist(), named.tolist(), first.tolist())}
+                payload = (html or "").encode()
+                if row in refers:
+                    out.write(member(record("revisit", page_id, url, digest32(payload), b"", len(payload), refers[row])))
+                else:
+                    out.write(member(record("response", page_id, url, digest32(payload), payload, len(payload))))
                 n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"uri": [uri], "n": np.array([n], np.int64)})
 
-    return cut(linked.mapInArrow(write, "uri string, n long"), "warc-manifest")
+    done = cut(pages.mapInArrow(write, "uri string, n long"), "warc-manifest")
+    release(pages)
+    return done
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -163,7 +175,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 fs, path = open_fs(uri)
                 rows = []
                 with fs.open_input_stream(path) as stream:
-                    for headers, _ in WarcReader(stream):
+                    for headers, _ in WarcReader(stream, payloads=False):
                         rows.append((_number(headers["WARC-Record-ID"]), int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"][5:], headers["WARC-Type"], _number(headers.get("WARC-Refers-To"))))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
