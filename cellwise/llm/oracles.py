@@ -39,12 +39,7 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN be
 _RATIOS = "[{'r': 'word_len', 'v': 100 * word_chars // n_words}, {'r': 'symbols', 'v': 1000 * n_symbols // n_words}, {'r': 'dup_lines', 'v': 1000 * n_dup_lines // n_lines}, {'r': 'repeats', 'v': 1000 * n_repeat_words // n_words}]"
 
 
-def _fences(keys: str) -> str:
-    over = f"PARTITION BY {keys}, r" if keys else "PARTITION BY r"
-    by = f"{keys}, r" if keys else "r"
-    return f"""(SELECT {by}, total, q1 - 3 * (q3 - q1) AS lo, greatest(q3 + 3 * (q3 - q1), CASE r WHEN 'word_len' THEN 1200 WHEN 'dup_lines' THEN 300 ELSE 200 END) AS hi FROM (
-      SELECT {by}, max(total) AS total, min(b) FILTER (WHERE upto * 4 >= total) AS q1, min(b) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM (
-        SELECT *, sum(n) OVER ({over} ORDER BY b) AS upto, sum(n) OVER ({over}) AS total FROM (SELECT {by}, b, sum(n) AS n FROM cells GROUP BY {by}, b)) GROUP BY {by}))"""
+_SPREADS = "CASE r WHEN 'word_len' THEN 10 WHEN 'symbols' THEN 40 WHEN 'dup_lines' THEN 120 ELSE 100 END"
 
 
 QUALITY = f"""
@@ -56,8 +51,14 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS so
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN repeated USING (doc_id)),
   k AS (SELECT *, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
   values_ AS (SELECT doc_id, lang, source, base_failed, unnest({_RATIOS}, recursive := true) FROM k WHERE n_words > 0),
-  cells AS (SELECT lang, source, r, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS b, count(*) AS n FROM values_ WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
-  judged AS (SELECT v.doc_id, bool_and(coalesce(v.v <= CASE WHEN a.total >= 100 THEN a.hi WHEN l.total >= 100 THEN l.hi ELSE g.hi END, TRUE)
-      AND (v.r <> 'word_len' OR coalesce(v.v >= CASE WHEN a.total >= 100 THEN a.lo WHEN l.total >= 100 THEN l.lo ELSE g.lo END, TRUE))) AS fine
-    FROM values_ v LEFT JOIN {_fences('lang, source')} a ON a.lang = v.lang AND a.source = v.source AND a.r = v.r LEFT JOIN {_fences('lang')} l ON l.lang = v.lang AND l.r = v.r LEFT JOIN {_fences('')} g ON g.r = v.r GROUP BY v.doc_id)
+  cells AS (SELECT lang, source, r, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS b, CAST(count(*) AS HUGEINT) AS n FROM values_ WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
+  whole AS (SELECT r, b, CAST(sum(n) AS HUGEINT) AS n, CAST(sum(sum(n)) OVER (PARTITION BY r) AS HUGEINT) AS total FROM cells GROUP BY r, b),
+  by_lang AS (SELECT lang, r, b, CAST(sum(n) AS HUGEINT) AS n FROM cells GROUP BY lang, r, b),
+  langs AS (SELECT g.lang, r, w.b, coalesce(o.n, 0) * w.total + 100 * w.n AS n FROM (SELECT DISTINCT lang, r FROM cells) g JOIN whole w USING (r) LEFT JOIN by_lang o USING (lang, r, b)),
+  wide AS (SELECT *, CAST(sum(n) OVER (PARTITION BY lang, r) AS HUGEINT) AS total FROM langs),
+  mixed AS (SELECT g.lang, g.source, r, w.b, coalesce(o.n, 0) * w.total + 100 * w.n AS n FROM (SELECT DISTINCT lang, source, r FROM cells) g JOIN wide w USING (lang, r) LEFT JOIN cells o USING (lang, source, r, b)),
+  ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, r ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, r) AS total FROM mixed),
+  quarts AS (SELECT lang, source, r, min(b) FILTER (WHERE upto * 4 >= total) AS q1, min(b) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM ranked GROUP BY lang, source, r),
+  judged AS (SELECT v.doc_id, bool_and(coalesce(v <= q3 + 3 * greatest(q3 - q1, {_SPREADS}), TRUE) AND (r <> 'word_len' OR coalesce(v >= q1 - 3 * greatest(q3 - q1, {_SPREADS}), TRUE))) AS fine
+    FROM values_ v LEFT JOIN quarts USING (lang, source, r) GROUP BY v.doc_id)
 SELECT k.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, TRUE) AS kept FROM k LEFT JOIN judged USING (doc_id)"""

@@ -3,14 +3,16 @@
 The base counts are taken inside the row with array functions; no words are exploded or shuffled.
 Each ratio's distribution is kept as an integer histogram whose buckets hold the five leading bits
 of the value: a mergeable quantile sketch with a relative error below 1/16, whose parts add up in any
-order. Sketches of (lang, source) are added up to those of lang and of everything; a group with
-fewer than ``MIN_DOCS`` documents uses the next wider one. The fences of a group are Tukey's, three
-interquartile ranges outside the quartiles, but an upper fence is never under the fixed number in
-``RATIOS``. On the given tables that number is always the greater, so there the upper limits are
-fixed and only the lower fence of word_len adapts (figures in the README).
-
-Null texts have no words, and fail the base rule. Null lang or source form a group of their own.
-Rows that repeat a doc_id each get a row. An empty table gives no rows.
+order. The sketch of a (lang, source) is drawn towards that of its language, and this one towards that of
+everything, by the weight of ``PRIOR`` documents of the wider group: few documents lean on the others,
+many speak for themselves, and nothing is switched at some size. The fences of a group are Tukey's,
+``FENCE`` spreads outside its quartiles. The spread is the distance of the quartiles, and at least the
+resolution that ``RATIOS`` states for the ratio: where most values are equal, both quartiles meet and
+would reject everything else. So each limit moves with its group's quartiles; no value is a cutoff.
+
+Null texts have no words, and fail the base rule. Null lang or source form a group of their own, the same
+as empty ones. Very long texts are counted whole. Rows that repeat a doc_id each get a row; equal texts of
+a group are judged alike. Other columns are left out, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, only
 
-MIN_DOCS, FENCE = 100, 3
-#: Ratios that are judged: name -> (numerator, denominator, scale, least upper fence, has a lower fence).
+PRIOR, FENCE = 100, 3
+#: Ratios that are judged: name -> (numerator, denominator, scale, resolution, has a lower fence).
 RATIOS = {
-    "word_len": ("word_chars", "n_words", 100, 1200, True),
-    "symbols": ("n_symbols", "n_words", 1000, 200, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 300, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 200, False),
+    "word_len": ("word_chars", "n_words", 100, 10, True),
+    "symbols": ("n_symbols", "n_words", 1000, 40, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 120, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 100, False),
 }
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -85,20 +87,40 @@ def sketches(counts: DataFrame) -> DataFrame:
     )
 
 
-def fences(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group the number of documents and the fences of each ratio, from merged sketches."""
-    merged = cells.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    # A group has a few hundred buckets at most, so these windows hold few rows whatever the corpus.
-    each = Window.partitionBy(*keys, "ratio")
-    ranked = merged.withColumn("upto", F.sum("n").over(each.orderBy("bucket"))).withColumn("total", F.sum("n").over(each))
+def _drawn(own: DataFrame, wide: DataFrame, keys: list[str], wide_keys: list[str]) -> DataFrame:
+    """Sketches of the groups ``keys``, each with the weight of PRIOR documents of its wider group added.
+
+    Whole numbers: n * (total of the wider sketch) + PRIOR * (n of the wider one). All ratios of a group have one total.
+    """
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    totals = wide.groupBy(*wide_keys, "ratio").agg(F.sum("n").cast("decimal(38,0)").alias("wide_total"))
+    wide = wide.join(totals, [*wide_keys, "ratio"]).withColumnRenamed("n", "wide_n")
+    every = own.select(*keys, "ratio").distinct().join(wide, [*wide_keys, "ratio"])
+    mixed = every.join(own, [*keys, "ratio", "bucket"], "left")
+    return mixed.select(*keys, "ratio", "bucket", (F.coalesce(big("n"), F.lit(0).cast("decimal(38,0)")) * F.col("wide_total") + PRIOR * big("wide_n")).cast("decimal(38,0)").alias("n"))
+
+
+def fences(cells: DataFrame) -> DataFrame:
+    """Per (lang, source) the fences of each ratio, from merged sketches.
+
+    A sketch has a few hundred buckets a ratio at most, whatever the corpus; what is joined and sorted
+    here are sketches.
+    """
+    everything = cells.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))
+    langs = cells.groupBy("lang_key", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    groups = _drawn(cells, _drawn(langs, everything, ["lang_key"], []), ["lang_key", "source_key"], ["lang_key"])
+    each = Window.partitionBy("lang_key", "source_key", "ratio")
+    ranked = groups.withColumn("upto", F.sum("n").over(each.orderBy("bucket"))).withColumn("total", F.sum("n").over(each))
     quart = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    per = ranked.groupBy(*keys, "ratio").agg(quart(1).alias("q1"), quart(3).alias("q3"), F.max("total").alias("total"))
+    least = F.create_map(*[F.lit(x) for r, (_, _, _, spread, _) in RATIOS.items() for x in (r, spread)])[F.col("ratio")]
+    per = ranked.groupBy("lang_key", "source_key", "ratio").agg(quart(1).alias("q1"), quart(3).alias("q3"))
+    per = per.withColumn("spread", F.greatest(F.col("q3") - F.col("q1"), least.cast("long")))
     out = []
-    for name, (_, _, _, least, _) in RATIOS.items():
+    for name in RATIOS:
         own = F.col("ratio") == name
-        out.append(F.max(F.when(own, F.greatest(F.col("q3") + FENCE * (F.col("q3") - F.col("q1")), F.lit(least)))).alias(f"{name}_hi"))
-        out.append(F.max(F.when(own, F.col("q1") - FENCE * (F.col("q3") - F.col("q1")))).alias(f"{name}_lo"))
-    return per.groupBy(*keys).agg(F.max("total").alias("docs"), *out)
+        out.append(F.max(F.when(own, F.col("q3") + FENCE * F.col("spread"))).alias(f"{name}_hi"))
+        out.append(F.max(F.when(own, F.col("q1") - FENCE * F.col("spread"))).alias(f"{name}_lo"))
+    return per.groupBy("lang_key", "source_key").agg(*out)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -108,14 +130,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("lang_key", F.coalesce("lang", F.lit(""))).withColumn("source_key", F.coalesce("source", F.lit("")))
     counts = cut(keyed.drop("lang", "source"), "quality-counts")
     cells = cut(sketches(counts), "quality-sketches")
-    names = [f"{r}_{s}" for r in RATIOS for s in ("hi", "lo")]
-    levels = [fences(cells, keys).select(*keys, *[F.when(F.col("docs") >= least, F.col(n)).alias(f"{n}{k}") for n in names]) for k, (keys, least) in enumerate([(["lang_key", "source_key"], MIN_DOCS), (["lang_key"], MIN_DOCS)])]
-    whole = fences(cells, []).first()  # one row
-    # The (lang, source) table takes its wider levels with it, so the documents are joined once.
-    table = levels[0].join(levels[1], "lang_key").select(
-        "lang_key", "source_key",
-        *[F.coalesce(f"{n}0", f"{n}1", F.lit(whole[n])).alias(n) for n in names],
-    )
+    # One row a group: its size is read before a way to join it is chosen, and a hot group is split.
+    table = cut(fences(cells), "quality-fences")
     rows = counts.join(table, ["lang_key", "source_key"], "left")
     fine = F.lit(True)
     for name, (_, _, _, _, lower) in RATIOS.items():

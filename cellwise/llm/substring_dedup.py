@@ -21,6 +21,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,8 +109,6 @@ class FingerprintIndex:
     def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
         """The index as its last saved manifest names it."""
         fs, path = open_fs(folder)
-        from pyarrow.fs import FileSelector
-
         newest = max(x.path for x in fs.get_file_info(FileSelector(path)) if x.base_name.startswith("manifest-"))
         with fs.open_input_stream(newest) as file:
             return cls(spark, folder, json.loads(file.read()))
@@ -134,8 +133,9 @@ class FingerprintIndex:
             found = [path]
         else:
             rows.write.partitionBy("batch_").parquet(path)
-            written = self.spark.read.parquet(path)
-            found = [f"{path}/batch_={r.batch_}" for r in written.select("batch_").distinct().orderBy("batch_").collect()] if written.columns != [] else []
+            fs, at = open_fs(path)
+            numbers = [int(x.base_name.removeprefix("batch_=")) for x in fs.get_file_info(FileSelector(at)) if x.base_name.startswith("batch_=")]
+            found = [f"{path}/batch_={k}" for k in sorted(numbers)]  # none if there are no rows
         self.state["parts"] = first + rows.rdd.getNumPartitions() + 1
         return found
 

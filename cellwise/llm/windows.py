@@ -287,7 +287,7 @@ class _Solver:
 
     def flush(self):
         """The runs found so far, by part."""
-        if not self.runs:
+        if not any(len(r[0]) for r in self.runs):
             return
         row, low, high = (np.concatenate(x) for x in zip(*self.runs))
         self.runs = []

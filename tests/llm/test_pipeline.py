@@ -78,7 +78,8 @@ def test_contaminated_documents_go(stages, spark, data):
             for i in range(len(w) - size + 1):
                 if tuple(w[i : i + size]) in found:
                     hit.update(range(i, i + size))
-        if not (hit and 20 * len(hit) >= len(w)):
+        long = any(tuple(w[i : i + 13]) in found for i in range(len(w) - 12))
+        if not (long or hit and 20 * len(hit) >= len(w)):
             keep.add(r.doc_id)
     assert ids(after) == keep
 
@@ -103,3 +104,39 @@ def test_null_and_repeated_ids_are_judged_row_by_row(spark):
         left = [(r.text[0], r.doc_id) for r in decontaminate.clean(some, bench).collect()]
         want = [(r.text[0], r.doc_id) for r in some.collect() if r.text not in (a, c)]
         assert sorted(left, key=str) == sorted(want, key=str)
+
+
+def test_a_short_passage_in_a_long_document_is_found(spark):
+    passage = " ".join(f"bench{i}" for i in range(14))
+    filler = " ".join(f"word{i}" for i in range(5000))
+    docs = spark.createDataFrame([(1, f"{filler} {passage} {filler}"), (2, filler), (3, " ".join(passage.split()[:12]) + " " + filler)], "doc_id long, text string")
+    bench = spark.createDataFrame([("x", passage), ("y", "word7 word8")], "item_id string, text string")
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {2, 3}
+
+
+ROWS = [(None, None, "a"), (None, "", "b"), (3, None, "c"), (3, " \t\n", "d"), (5, "x", "e"), (5, "x", "f"), (6, " ".join(f"long{i}" for i in range(60_000)), "g")]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_rows_and_clashing_columns(spark, data, stage):
+    """Nulls, empty and very long texts, ties, repeated rows; columns named as stages name theirs."""
+    docs = spark.createDataFrame([(*r, 1, "r", 2.0) for r in ROWS], "doc_id long, text string, lang string, n_words long, runs string, part double")
+    after = corpus_pipeline.STAGES[stage][1](spark, docs, data)
+    rows = after.collect()
+    if stage == 4:
+        assert sorted(str(r.doc_id) for r in rows if r.piece == 0) == sorted(str(r[0]) for r in ROWS)
+        return
+    assert after.columns == docs.columns and {r.lang for r in rows} <= {r[2] for r in ROWS}
+    texts = {r[2]: r[1] for r in ROWS}
+    assert all(r.text == texts[r.lang] for r in rows)
+    if stage == 1:  # texts without words are one group, the two x another
+        assert {r.lang for r in rows} in ({"c", "e", "g"}, {"d", "e", "g"}, {"c", "f", "g"}, {"d", "f", "g"})
+    if stage in (2, 3):
+        assert len(rows) == len(ROWS)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_empty_tables(spark, data, stage):
+    docs = table(spark, data, "documents").limit(0)
+    after = corpus_pipeline.STAGES[stage][1](spark, docs, data)
+    assert after.collect() == [] and (stage == 4 or after.columns == docs.columns)

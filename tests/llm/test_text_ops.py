@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -8,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cellwise.llm import classifier, decontaminate, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, token_files, warc, windows
 from cellwise.llm.queries import tokenizer
@@ -64,39 +66,64 @@ def bytes_left(documents, width):
     return out
 
 
-@pytest.mark.parametrize("limit", [2000, 2])
-def test_suffix_dedup(docs, limit, monkeypatch):
-    monkeypatch.setattr(windows, "LIMIT", limit)
-    got = by_id(suffix_dedup.suffix_dedup(docs))
+@pytest.mark.parametrize("limit", [None, 2])
+def test_suffix_dedup(docs, limit):
+    got = by_id(suffix_dedup.suffix_dedup(docs, limit=limit))
     assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == bytes_left(texts(), 100)
 
 
+@pytest.mark.parametrize("width", [33, 251])
+def test_suffix_dedup_of_other_widths(docs, width):
+    some = docs.where("doc_id < 11")
+    got = by_id(suffix_dedup.suffix_dedup(some, width))
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == bytes_left({k: t for k, t in texts().items() if k < 11}, width)
+
+
+def test_rows_that_share_an_id_keep_the_first_copy(spark):
+    """Rows with equal or missing ids are documents of their own: one copy of what they share stays."""
+    solo = " ".join(f"solo{i}" for i in range(60))
+    rows = [(None, f"{PASSAGE} one"), (None, f"{solo} {PASSAGE}"), (4, solo), (4, f"x {solo}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = b"|".join(r.kept for r in suffix_dedup.suffix_dedup(df, keep_text=True).collect())
+    assert kept.count(PASSAGE.encode()) == 1 and kept.count(solo.encode()) == 1
+    kept = "|".join(r.text for r in substring_dedup.strip_repeats(df).collect())
+    assert kept.count(PASSAGE) == 1 and kept.count(solo) == 1
+
+
 @settings(max_examples=80, deadline=None)
-@given(st.sampled_from([6, 10, 15, 20, 40]), st.lists(st.text("ab", min_size=1, max_size=40), min_size=1, max_size=8))
+@given(st.sampled_from([6, 10, 15, 20, 300]), st.lists(st.text("ab", min_size=1, max_size=40), min_size=1, max_size=8))
 def test_columnwise_index(width, strings):
-    data = [(s * 40)[: width + len(s) - 1].encode() for s in strings]
-    spec = windows.Spec(False, width, 3)
+    data = [(s * 300)[: width + len(s) - 1].encode() for s in strings]
     n = np.array([len(d) - width + 1 for d in data])
-    doc, start = suffix_dedup.first_windows(data, n, np.arange(len(data)), np.zeros(len(data), np.int64), spec)
-    first, at = {}, 0
+    some = np.arange(len(data))
+    again = suffix_dedup.occurs_before(data, n, some % 3, some, some * 7, windows.Spec(False, width, 3))
+    first, places, at = {}, [], 0
     for k, d in enumerate(data):
         for i in range(len(d) - width + 1):
-            first.setdefault(d[i : i + width], (k, i))
-    for k, d in enumerate(data):
-        for i in range(len(d) - width + 1):
-            assert (doc[at], start[at]) == first[d[i : i + width]]
-            at += 1
+            places.append((d[i : i + width], (k % 3, k, k * 7 + i)))
+            first[places[-1][0]] = min(first.get(*[places[-1][0]], places[-1][1]), places[-1][1])
+    for text, place in places:
+        assert again[at] == (first[text] < place)
+        at += 1
 
 
-@pytest.mark.parametrize("width", [249, 251, 307])
-def test_columnwise_index_of_deep_prefixes(width):
-    data = [LONG[:400].encode(), b"x" + LONG[:400].encode(), LONG[100:450].encode()]
-    n = np.array([len(d) - width + 1 for d in data])
-    doc, start = suffix_dedup.first_windows(data, n, np.arange(3), np.zeros(3, np.int64), windows.Spec(False, width, 3))
-    first, want = {}, []
-    for k, d in enumerate(data):
-        want += [first.setdefault(d[i : i + width], (k, i)) for i in range(len(d) - width + 1)]
-    assert list(zip(doc.tolist(), start.tolist())) == want
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab ", max_size=60), min_size=1, max_size=6), st.booleans(), st.sampled_from([5, 6, 9]))
+def test_pieces_hold_every_window_once(strings, words, width):
+    """Equal windows have equal keys, and each window is in one piece."""
+    import pyarrow as pa
+
+    spec = windows.Spec(words, width, 2)
+    units = windows.Units(pa.array(strings, pa.string()), words)
+    found = windows.pieces(units, spec)
+    key, seen = {}, []
+    for text, start, n, k in zip(*(found[c].tolist() for c in ("text", "start", "n", "key"))):
+        own = strings[text].split() if words else list(strings[text])
+        for i in range(start, start + n):
+            seen.append((text, i))
+            assert key.setdefault(tuple(own[i : i + width]), k) == k and len(own[i : i + width]) == width
+    sizes = [len(s.split() if words else s) for s in strings]
+    assert sorted(seen) == [(t, i) for t, size in enumerate(sizes) for i in range(size - width + 1)]
 
 
 # ---- 2
@@ -118,22 +145,48 @@ def words_left(documents, width):
     return out
 
 
-@pytest.mark.parametrize(("batches", "limit", "fanout"), [(1, 2000, 4), (3, 2000, 1), (3, 2, 4)])
-def test_substring_dedup(docs, batches, limit, fanout, monkeypatch):
-    monkeypatch.setattr(windows, "LIMIT", limit)
-    monkeypatch.setattr(substring_dedup, "FANOUT", fanout)
-    got = by_id(substring_dedup.substring_dedup(docs, batches))
+@pytest.mark.parametrize(("batches", "limit", "fanout"), [(1, None, 4), (3, None, 1), (6, 2, 4)])
+def test_substring_dedup(docs, batches, limit, fanout):
+    got = by_id(substring_dedup.substring_dedup(docs, batches, fanout, limit))
     assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == words_left(texts(), 50)
 
 
-def test_windows_of_equal_hash_are_told_apart(monkeypatch):
-    data = [PASSAGE.encode(), PASSAGE.upper().encode(), PASSAGE.encode()]
-    spec = windows.Spec(True, 50, 10)
-    n = np.array([21, 21, 21])
-    real = substring_dedup.Prefix.runs
-    monkeypatch.setattr(substring_dedup.Prefix, "runs", lambda self, a, b: real(self, a, b) * np.uint64(0))
-    doc, _ = substring_dedup.first_documents(data, n, np.array([1, 2, 3]), np.zeros(3, np.int64), spec)
-    assert doc.reshape(3, 21)[:, 0].tolist() == [1, 2, 1]
+def thue_morse(bits):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+def test_words_of_equal_hash_are_told_apart(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    one = thue_morse(11)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest}")]
+    got = by_id(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2))
+    assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == words_left(dict(rows), 50)
+    bench = spark.createDataFrame([("p", f"{one} x y"), ("q", f"{other} x y")], "item_id string, text string")
+    found = by_id(decontaminate.contamination(spark.createDataFrame([(1, f"{one} x y"), (2, f"{other} x y z")], "doc_id long, text string"), bench))
+    assert [(found[k].n_hit, found[k].n_items, found[k].match_item) for k in (1, 2)] == [(3, 1, "p"), (3, 1, "q")]
+    bytes_ = spark.createDataFrame([(1, one), (2, other), (3, other)], "doc_id long, text string")
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in by_id(suffix_dedup.suffix_dedup(bytes_)).items()} == bytes_left({1: one, 2: other, 3: other}, 100)
+
+
+def test_an_index_goes_on_after_it_was_opened_again(spark):
+    from cellwise.llm.common import ROW, shared_dir
+
+    folder, schema = shared_dir(spark, "index"), "doc_id long, text string"
+    index = substring_dedup.FingerprintIndex.create(spark, folder, fanout=1)
+    batches = [[(1, PASSAGE), (2, "short")], [(3, f"new {PASSAGE}")], [(4, PASSAGE), (5, f"{PASSAGE} {PASSAGE}")]]
+    full = spark.createDataFrame([], schema).withColumn(ROW, F.lit(0).cast("long")).schema
+    removed = {}
+    for batch in batches:
+        index = substring_dedup.FingerprintIndex.open(spark, folder)
+        for segment in index.append(spark.createDataFrame(batch, schema)):
+            index.add(segment, full)
+        runs = windows.RowRuns(index.repeats(full))
+        for r in index.rows(full).collect():
+            removed[r.doc_id] = removed.get(r.doc_id, 0) or sum(b - a for a, b in runs(r[ROW]))
+    assert removed == {k: v[1] for k, v in words_left(dict(x for b in batches for x in b), 50).items()}
+    assert len(index.state["runs"]) == 1 and len(index.state["segments"]) == 3
 
 
 def test_strip_repeats_keeps_columns(docs):
@@ -145,6 +198,14 @@ def test_strip_repeats_keeps_columns(docs):
 # ---- 3 and 6
 
 
+@functools.cache
+def fresh(name):
+    """The library's own tokenizer, straight from the file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer(name))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_runs_encode_like_whole_texts(name):
     encoder = RunEncoder(tokenizer(name))
@@ -152,7 +213,18 @@ def test_runs_encode_like_whole_texts(name):
     ids, counts = encoder.encode(some)
     ends = np.cumsum(counts)
     for text, count, end in zip(some, counts, ends):
-        assert encoder.tokenizer.encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist()
+        assert fresh(name).encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist()
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>y", " <|endoftext|>'s", "<|EndOfText|> <| |>", "<|endoftext", "\n<|startoftext|>\n 1 <|endoftext|> "]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_are_taken_as_the_library_takes_them(name):
+    some = [*SPECIAL, "plain", *SPECIAL[::-1], ""]
+    ids, counts = RunEncoder(tokenizer(name)).encode(some)
+    for text, count, end in zip(some, counts, np.cumsum(counts)):
+        assert fresh(name).encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist(), text
 
 
 @settings(max_examples=60, deadline=None)
@@ -164,7 +236,7 @@ def test_runs_encode_any_text(some):
     ids, counts = _ENCODER.encode(some)
     ends = np.cumsum(counts)
     for text, count, end in zip(some, counts, ends):
-        assert _ENCODER.tokenizer.encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist()
+        assert fresh("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist()
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -173,11 +245,11 @@ def test_texts_that_begin_with_an_apostrophe(name):
     some = ["'stress of it", "'manager", "'derived\nx", "'duplicate", "'reader's", "'ve", "'llama", "'x", "1st", "(self", "Word", " 'stress"]
     ids, counts = encoder.encode(some)
     for text, count, end in zip(some, counts, np.cumsum(counts)):
-        assert encoder.tokenizer.encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist(), text
+        assert fresh(name).encode(text, add_special_tokens=False).ids == ids[end - count : end].tolist(), text
 
 
 def test_token_files(docs, spark):
-    encoder = RunEncoder(tokenizer("byte_bpe_50k.json")).tokenizer
+    encoder = fresh("byte_bpe_50k.json")
     got, start = by_id(token_files.token_files(docs, tokenizer("byte_bpe_50k.json"))), 0
     for k, t in texts().items():
         ids = np.array([*encoder.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -195,7 +267,7 @@ def test_token_shard_access(docs, spark, tmp_path):
 
 
 def test_packing(docs):
-    encoder = RunEncoder(tokenizer("word_bpe_49k.json")).tokenizer
+    encoder = fresh("word_bpe_49k.json")
     rows = packing.pack(docs, tokenizer("word_bpe_49k.json")).collect()
     pieces = collections.defaultdict(dict)
     for r in rows:
@@ -205,6 +277,8 @@ def test_packing(docs):
         ids = np.array([*encoder.encode(t, add_special_tokens=False).ids, 0], "<u4")
         cut = [ids[i : i + 2048] for i in range(0, len(ids), 2048)]
         assert [(r.start, r.length, r.ids_crc32) for _, r in sorted(pieces[k].items())] == [(2048 * i, len(c), zlib.crc32(c.tobytes())) for i, c in enumerate(cut)]
+    total = sum(r.length for r in rows)
+    assert len(_sequences(rows)) <= -(-total // 2048) + 1
     for own in _sequences(rows).values():
         assert [r.offset for r in own] == np.r_[0, np.cumsum([r.length for r in own])[:-1]].tolist() and sum(r.length for r in own) <= 2048
 
@@ -317,7 +391,7 @@ def test_items_without_an_id_are_searched(spark, limit):
     want = {r[0]: r[1:] for r in con.execute(oracles.DECONTAMINATION).fetchall()}
     docs, bench = spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
     got = by_id(decontaminate.contamination(docs, bench, limit))
-    assert {k: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for k, r in got.items()} == want
+    assert {k: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest_match, r.match_at, r.match_item, r.match_item_at) for k, r in got.items()} == want
     assert got[8].contaminated and got[8].n_items == 1
 
 
@@ -364,9 +438,15 @@ def test_simhash(spark, cell):
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=4))
 def test_linked_prints_share_a_cell(a, bits):
+    """For every grid; and the Manhattan distance is a lower bound, worked out here segment by segment."""
     b = a ^ sum(1 << i for i in bits)
-    keys = simhash.cell_keys(np.array([a, b], np.uint64))
-    assert set(keys[0]) & set(keys[1])
+    for groups in range(7, 13):
+        keys = simhash.cell_keys(np.array([a, b], np.uint64), groups)
+        assert set(keys[0].tolist()) & set(keys[1].tolist())
+    counts = [[(x >> 2 * k & 3).bit_count() for k in range(32)] for x in (a, b)]
+    want = sum(abs(x - y) for x, y in zip(*counts))
+    e = simhash.embedded(np.array([a, b], np.uint64))
+    assert int(simhash.manhattan(e[:1], e[1:])[0]) == want <= (a ^ b).bit_count()
 
 
 # ---- 8
@@ -418,13 +498,27 @@ def test_warc(spark):
         assert got[5].record_type == ("revisit" if not least else "response")
 
 
+def test_one_response_a_payload_whatever_the_ids(spark):
+    rows = [(None, "u", "P", "clash"), (1, "u", "P", ""), (2, None, "P", ""), (2, "u", "Q", ""), (2, "v", "Q", ""), (None, "u", "P", ""), (None, None, None, "")]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string")).collect()
+    assert len(got) == len(rows)
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r.payload_digest].append((r.record_type, r.page_id, r.refers_to))
+    p, q, none = (sorted(found[warc.digest32(x)], key=str) for x in (b"P", b"Q", b""))
+    assert p == sorted([("response", None, None), ("revisit", None, None), ("revisit", 1, None), ("revisit", 2, None)], key=str)
+    assert q == [("response", 2, None), ("revisit", 2, 2)] and none == [("response", None, None)]
+
+
 def test_warc_reader_checks():
     import io
 
     good = warc.member(warc.record("response", 1, "u", warc.digest32(b"payload"), b"payload", 7))
     assert [p for _, p in warc.WarcReader(io.BytesIO(good + good), block=5)] == [b"payload"] * 2
     bad = warc.member(warc.record("response", 1, "u", warc.digest32(b"other"), b"payload", 7))
-    for data in (bad, good[:-4], warc.member(b"no record\r\n\r\n")):
+    short = warc.member(warc.record("response", 1, "u", warc.digest32(b"payload"), b"payload", 7)[:-4])
+    full = warc.member(warc.record("revisit", 2, "u", warc.digest32(b"payload"), b"payload", 7, 1))
+    for data in (bad, good[:-4], warc.member(b"no record\r\n\r\n"), short, full):
         with pytest.raises(ValueError):
             list(warc.WarcReader(io.BytesIO(data)))
 
@@ -447,42 +541,71 @@ def test_quality_counts(docs):
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def noisy(rng, k, lang, source, share):
+    """A document of which about ``share`` of the words carry a symbol."""
+    n = int(rng.integers(60, 200))
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 8)))) for _ in range(n)]
+    for i in rng.choice(n, int(n * share), replace=False):
+        words[i] += "#"
+    return (k, " ".join(words), lang, source)
+
+
 def test_adaptive_fences(spark):
-    """The verdict of every document, from thresholds worked out in Python."""
+    """The verdict of every document, from thresholds worked out in Python with exact fractions."""
+    from fractions import Fraction
+
     rng = np.random.default_rng(5)
-    rows = []
-    for k in range(700):
-        n = int(rng.integers(60, 200))
-        words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 8)))) for _ in range(n)]
-        for i in rng.integers(0, n, int(n * (0.5 if k % 50 == 0 else 0.02))):
-            words[i] += "#"
-        rows.append((k, " ".join(words), ["en", "de"][k % 2], "small" if k < 20 else "big"))
+    rows = [noisy(rng, k, ["en", "de"][k % 2], "small" if k < 20 else "big", 0.5 if k % 50 == 0 else 0.02) for k in range(500)]
     got = by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
     low = lambda v: v >> max(0, v.bit_length() - 5) << max(0, v.bit_length() - 5)
-    groups = collections.defaultdict(list)
-    for k, _, lang, source in rows:
-        r = got[k]
-        for key in ((lang, source), (lang,)):
-            groups[key].append((low(100 * r.word_chars // r.n_words), low(1000 * r.n_symbols // r.n_words)))
+    values = {k: {"word_len": 100 * got[k].word_chars // got[k].n_words, "symbols": 1000 * got[k].n_symbols // got[k].n_words} for k in got}
+
+    def sketch(name, of, wider=None):
+        own = collections.Counter(low(values[k][name]) for k, _, lang, source in rows if of(lang, source))
+        total = sum(own.values())
+        if wider is None:
+            return {b: Fraction(n, total) for b, n in own.items()}
+        return {b: (own[b] + quality.PRIOR * w) / (total + quality.PRIOR) for b, w in wider.items()}
+
     kept = 0
     for k, _, lang, source in rows:
-        r, own = got[k], groups[(lang, source)]
-        own = own if len(own) >= quality.MIN_DOCS else groups[(lang,)]
-        quart = lambda i, q: sorted(v[i] for v in own)[-(-len(own) * q // 4) - 1]
-        length, symbols = 100 * r.word_chars // r.n_words, 1000 * r.n_symbols // r.n_words
-        a, b = quart(0, 1), quart(0, 3)
-        fine = a - 3 * (b - a) <= length <= max(b + 3 * (b - a), 1200) and symbols <= max(quart(1, 3) + 3 * (quart(1, 3) - quart(1, 1)), 200)
-        assert r.kept == fine
+        fine = True
+        for name, spread in (("word_len", 10), ("symbols", 40)):
+            by_lang = sketch(name, lambda a, b, x=lang: a == x, sketch(name, lambda a, b: True))
+            own = sketch(name, lambda a, b, x=lang, y=source: (a, b) == (x, y), by_lang)
+
+            def quart(q, own=own):
+                upto = Fraction(0)
+                for b in sorted(own):
+                    upto += own[b]
+                    if upto * 4 >= q:
+                        return b
+
+            step = 3 * max(quart(3) - quart(1), spread)
+            fine &= values[k][name] <= quart(3) + step and (name != "word_len" or values[k][name] >= quart(1) - step)
+        assert got[k].kept == fine
         kept += fine
     assert 0 < kept < len(rows)
 
 
+def test_one_value_fails_in_one_source_and_passes_in_another(spark):
+    """A source in which symbols are common has a higher limit: nothing is a fixed cutoff."""
+    rng = np.random.default_rng(6)
+    rows = [noisy(rng, k, "en", ["prose", "code"][k % 2], 0.02 if k % 2 == 0 else 0.15 + 0.3 * rng.random()) for k in range(600)]
+    rows += [noisy(rng, 1000, "en", "prose", 0.4), noisy(rng, 1001, "en", "code", 0.4)]
+    got = by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert not got[1000].kept and got[1001].kept
+    assert np.mean([got[k].kept for k in range(600)]) > 0.95
+
+
 # ---- all
 
 
 OPERATORS = {
     1: suffix_dedup.suffix_dedup, 2: substring_dedup.substring_dedup, 3: lambda d: token_files.token_files(d, tokenizer("byte_bpe_50k.json")), 4: licenses.scan,
-    6: lambda d: packing.pack(d, tokenizer("word_bpe_49k.json")), 7: simhash.near_duplicates, 10: quality.quality_rules,
+    5: lambda d: decontaminate.contamination(d, d.sparkSession.createDataFrame([("i", PASSAGE)], "item_id string, text string"), 100),
+    6: lambda d: packing.pack(d, tokenizer("word_bpe_49k.json")), 7: simhash.near_duplicates, 8: lambda d: classifier.score(d, classifier.fit(d, d.sparkSession.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int"))),
+    9: lambda d: warc.warc_round_trip(d.selectExpr("doc_id as page_id", "null as url", "text as html", "text")).withColumnRenamed("page_id", "doc_id"), 10: quality.quality_rules,
 }
 
 
@@ -505,6 +628,17 @@ def test_null_and_repeated_ids(n, spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(k) for k, _ in rows)
 
 
+def test_classifier_on_given_labels(spark):
+    """Held-out labels of the given tables, and nothing but the fold that may be learnt from."""
+    root = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    got = {r.doc_id: r for r in classifier.score(docs, classifier.fit(docs, labels)).collect()}
+    marked = [(got[r.doc_id].predicted, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    assert np.mean([p == q for p, q in marked]) > 0.95
+    turned = labels.withColumn("quality", F.when(classifier.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {k: r.score for k, r in got.items()} == {r.doc_id: r.score for r in classifier.score(docs, classifier.fit(docs, turned)).collect()}
+
+
 def test_native_plans_run_no_python(docs):
     for f in (licenses.scan, quality.base_counts):
         plan = f(docs)._jdf.queryExecution().executedPlan().toString()
