@@ -2,6 +2,10 @@
 
 Every stage takes the documents that the one before it kept; its output is written as Parquet and
 read again. All stages but the last return the columns of ``documents``.
+
+All stages judge row by row: rows that share a doc_id, or have none, are documents of their own. Extra
+columns travel along unread, whatever their names (only ``row_number_`` and ``batch_`` are taken).
+Texts are read whole, however long. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,27 +22,46 @@ from cellwise.llm.substring_dedup import strip_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the compression classifier rejects."""
+    """Drop the documents that the compression classifier rejects.
+
+    Null and empty texts get the score of no evidence, all alike. Equal texts and repeated rows stay or go
+    together. Without labels nothing is rejected (a score of 0.5 stays).
+    """
     return accepted(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row, that with the smallest doc_id, of every SimHash group."""
+    """Keep one row, that with the smallest doc_id, of every SimHash group.
+
+    Of rows that share that doc_id the first stays; a null doc_id comes after all others. Null texts, empty
+    texts and texts without words are one group.
+    """
     return keep_one(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out words in windows of 50 that an earlier document has as well."""
+    """Take out words in windows of 50 that an earlier document has as well.
+
+    Every row stays, if with an empty text. Null texts stay null. Earlier is smaller by (doc_id, row), a null
+    doc_id before all others; of equal texts the earliest keeps its words.
+    """
     return strip_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which benchmark windows cover a twentieth or more."""
+    """Drop documents with a verbatim match of 13 benchmark words, or a twentieth covered by shorter items.
+
+    Null and empty texts stay. Equal texts and repeated rows stay or go together. An empty benchmark drops
+    nothing; items without text match nothing.
+    """
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into token sequences."""
+    """Pack what is left into token sequences.
+
+    Null texts are the end id alone. Every row is packed on its own, ties in length in any order.
+    """
     return pack(docs, tokenizer("word_bpe_49k.json"))
 
 
