@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bytesview import Prefix, same_bytes, spans
 from .common import PART_BITS, ROW, SideTables, by_part, column, numbered, only, open_fs, shared_dir, shuffles, slices, text_bytes
 
-WINDOW, BLOCK_BYTES, SHARD_BYTES = 13, 4 << 20, 4 << 20
+WINDOW, BLOCK_BYTES, SHARD_BYTES = 13, 4 << 20, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)

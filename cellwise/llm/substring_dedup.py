@@ -30,7 +30,7 @@ from .bytesview import Prefix, same_bytes, spans
 from .common import PART_BITS, ROW, SideTables, column, cut, joined, open_fs, packed, release, shared_dir, shuffles, unpacked
 from .windows import IS_WORD, RowRuns, Spec, by_bucket, covered, dealt, fingerprints, met, shares
 
-WIDTH, ANCHOR, CHUNK, FANOUT, BATCHES = 50, 10, 20_000, 4, 6
+WIDTH, ANCHOR, CHUNK, FANOUT, BATCHES = 50, 10, 4000, 4, 6
 
 
 def occurs_before(data: list[bytes], n: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, spec: Spec) -> np.ndarray:
