@@ -109,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     def encode(batches):
         tokens, part, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for some in slices(batch, "text", 4 << 20):
+            for some in slices(batch, "text", 2 << 20):
                 rows = []
                 ids, ends = tokens.with_end(column(some, "text"), end_id)
                 data = memoryview(ids.astype("<u4").view(np.uint8))

@@ -80,7 +80,7 @@ def _shard_writer(tokenizer_path: str, dictionary: bytes, folder: str, end_id: i
         uri = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.ids"
         out, index, offset = None, [], 8 + 32 + 1
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", 2 << 20):
                 ids, ends = tokens.with_end(column(piece, "text"), end_id)
                 if out is None and len(piece):
                     fs, path = open_fs(uri)

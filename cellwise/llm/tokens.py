@@ -61,13 +61,15 @@ class RunEncoder:
         self._letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
         self._newline = _byte_letters()[10]
         self._words, self._lower = None, False
-        if "ByteLevel" in repr(self.tokenizer.pre_tokenizer):
-            cuts = json.loads(self.tokenizer.to_str(pretty=False))
-            steps = cuts["pre_tokenizer"].get("pretokenizers", [cuts["pre_tokenizer"]])
-            norms = [n["type"] for n in (cuts["normalizer"] or {}).get("normalizers", [])]
-            if not cuts["normalizer"] and len(steps) == 1 and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]:
+        # The parts' own states: the whole file as objects would take far more memory than the tokenizer.
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+        cuts, norms = state(self.tokenizer.pre_tokenizer), state(self.tokenizer.normalizer)
+        steps = cuts.get("pretokenizers", [cuts])
+        kinds = [n["type"] for n in norms.get("normalizers", [])]
+        if steps[-1].get("type") == "ByteLevel":
+            if not norms and len(steps) == 1 and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]:
                 self._words = regex.compile(_BYTE_LEVEL)
-            elif norms == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": _LOWER_CASE}:
+            elif kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": _LOWER_CASE}:
                 self._words, self._lower = regex.compile(_LOWER_CASE), True
         self._merger = Tokenizer(self.tokenizer.model)
         self._reset()
@@ -110,7 +112,8 @@ class RunEncoder:
         which = np.flatnonzero(~np.asarray(simple, bool))
         groups = [others[k : k + _JOIN] for k in range(0, len(others), _JOIN)]
         each = [np.zeros(0, np.int64)]
-        for group, encoding in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
+        for group in groups:
+            encoding = self.tokenizer.encode(group, is_pretokenized=True, add_special_tokens=False)
             found.append(np.asarray(encoding.ids, np.uint32))
             each.append(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(group)))
         counts[which] = np.concatenate(each)
@@ -133,7 +136,8 @@ class RunEncoder:
         letters = "\n".join(new).encode().decode("latin-1").translate(self._letters).split(self._newline)
         groups = [letters[k : k + _JOIN] for k in range(0, len(letters), _JOIN)]
         found, each = [], []
-        for group, encoding in zip(groups, self._merger.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
+        for group in groups:
+            encoding = self._merger.encode(group, is_pretokenized=True, add_special_tokens=False)
             found.append(np.asarray(encoding.ids, np.uint32))
             each.append(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(group)))
         counts = np.concatenate(each)
