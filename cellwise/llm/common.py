@@ -27,16 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """A table of the given folder, read through Spark only."""
     # Python workers of a local session find this package where the driver found it.
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    bounded(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
+#: The bytes of a batch that goes to Python, in place of Spark's default.
+BATCH_BYTES, _BYTES = "4194304b", ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the bytes of batches for Python more closely, unless the session has a bound of its own."""
+    if spark.conf.get(*_BYTES) == _BYTES[1]:
+        spark.conf.set(_BYTES[0], BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``.
 
     The setting is read from the session. Where it is unset a temporary folder serves, which is
     right in one process only, so a session on several machines raises instead.
     """
+    bounded(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):

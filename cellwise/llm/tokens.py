@@ -19,7 +19,7 @@ import regex
 
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
-_MAX_RUNS, _MAX_CHARS, _JOIN = 350_000, 16_000_000, 2000
+_MAX_RUNS, _MAX_CHARS, _JOIN = 300_000, 16_000_000, 2000
 #: Fixed values of the two public vocabularies: how they cut a text into words before merging.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LOWER_CASE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
