@@ -16,7 +16,7 @@ def powers(name: str, base: np.uint64, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 1 << 20:
+        if n <= 1 << 19:
             _powers[name] = have
     return have[:n]
 
