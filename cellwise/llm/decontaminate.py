@@ -20,6 +20,7 @@ whatever their names. Empty tables: no rows, or only clean ones.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import Prefix, same_bytes, spans
-from .common import PART_BITS, ROW, SideTables, by_part, column, numbered, only, open_fs, shared_dir, shuffles, slices, text_bytes
+from .common import column, only, open_fs, shared_dir, shuffles, slices, text_bytes
 
 WINDOW, BLOCK_BYTES, SHARD_BYTES = 13, 4 << 20, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -277,6 +278,42 @@ _OUT = "doc_id long, n_words long, hits array<struct<low:long,high:long>>, items
 _HITS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
 
+@dataclass
+class Found:
+    """What a shard's texts have of all blocks: words, covered runs (text, low, high), items and longest matches by text."""
+
+    words: Words
+    runs: list[tuple[int, int, int]]
+    items: dict[int, set]
+    best: dict[int, tuple]
+
+
+def search(texts: pa.Array, uris: list[str]) -> Found:
+    """One suffix array, all blocks of items."""
+    words = Words(texts)
+    base = words.firsts[:-1] + np.arange(len(words.n))
+    order = suffix_array(words.sequence, len(words.sequence) - WINDOW) if uris and len(words.starts) else None
+    edge = np.zeros(len(words.sequence) + 1, np.int64)
+    items: dict[int, set] = {}
+    best: dict[int, tuple] = {}
+    rank = lambda m: (-m[0], m[1], m[2] is None, m[2] or "", m[3])
+    for uri in uris:
+        test = _block(uri)
+        window, at = matches(words, test, order)
+        if not len(at):
+            continue
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + test.length[window], -1)
+        for t, w in np.unique(np.stack([words.text_at[at], window], 1), axis=0).tolist():
+            items.setdefault(t, set()).update(test.item_ids[i] for i in test.items[test.items_from[w] : test.items_from[w + 1]].tolist())
+        for t, found in longest_matches(words, test, window, at).items():
+            best[t] = min(best.get(t, found), found, key=rank)
+    covered = np.r_[False, np.cumsum(edge)[: len(words.sequence)] > 0, False]
+    low, high = np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
+    of = words.text_at[low] if len(low) else low
+    return Found(words, list(zip(of.tolist(), (low - base[of]).tolist(), (high - base[of]).tolist())), items, best)
+
+
 def locate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, covered runs of words (``hits``), matching ``items`` and the longest match of every row."""
     uris = blocks(benchmark, limit)
@@ -284,34 +321,14 @@ def locate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> D
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "text", SHARD_BYTES):
-                words = Words(column(piece, "text"))
-                base = words.firsts[:-1] + np.arange(len(words.n))
-                order = suffix_array(words.sequence, len(words.sequence) - WINDOW) if uris and len(words.starts) else None
-                edge = np.zeros(len(words.sequence) + 1, np.int64)
-                items: dict[int, set] = {}
-                best: dict[int, tuple] = {}
-                for uri in uris:
-                    test = _block(uri)
-                    window, at = matches(words, test, order)
-                    if not len(at):
-                        continue
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + test.length[window], -1)
-                    for t, w in np.unique(np.stack([words.text_at[at], window], 1), axis=0).tolist():
-                        items.setdefault(t, set()).update(test.item_ids[i] for i in test.items[test.items_from[w] : test.items_from[w + 1]].tolist())
-                    for t, found in longest_matches(words, test, window, at).items():
-                        rank = lambda m: (-m[0], m[1], m[2] is None, m[2] or "", m[3])
-                        best[t] = min(best.get(t, found), found, key=rank)
-                covered = np.r_[False, np.cumsum(edge)[: len(words.sequence)] > 0, False]
-                low, high = np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
-                of = words.text_at[low] if len(low) else low
+                found = search(column(piece, "text"), uris)
                 hits: dict[int, list] = {}
-                for t, a, b in zip(of.tolist(), (low - base[of]).tolist(), (high - base[of]).tolist()):
+                for t, a, b in found.runs:
                     hits.setdefault(t, []).append({"low": a, "high": b})
                 rows, none = range(len(piece)), (0, None, None, None)
-                match = list(zip(*(best.get(t, none) for t in rows))) or [()] * 4
+                match = list(zip(*(found.best.get(t, none) for t in rows))) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [column(piece, "doc_id"), pa.array(words.n, pa.int64()), pa.array([hits.get(t, []) for t in rows], _HITS), pa.array([by_name(items.get(t, ())) for t in rows], pa.list_(pa.string())),
+                    [column(piece, "doc_id"), pa.array(found.words.n, pa.int64()), pa.array([hits.get(t, []) for t in rows], _HITS), pa.array([by_name(found.items.get(t, ())) for t in rows], pa.list_(pa.string())),
                      *(pa.array(m, k) for m, k in zip(match, (pa.int64(), pa.int64(), pa.string(), pa.int64())))],
                     names=["doc_id", "n_words", "hits", "items", "longest_match", "match_at", "match_item", "match_item_at"],
                 )
@@ -338,20 +355,17 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     alike. Rows with null or empty texts stay. All columns stay. An empty table gives no rows, and an empty
     benchmark removes none.
     """
-    rows, names = numbered(docs), docs.columns
-    found = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark)
-    bad = found.where(F.col("contaminated") | (F.col("longest_match") >= WINDOW))
-    tables = SideTables.write(bad.select("doc_id").mapInArrow(by_part("doc_id"), "part long, data binary"), 1, "contaminated")
+    uris = blocks(benchmark, BLOCK_BYTES)
 
     def keep(batches):
-        part, gone = None, None
         for batch in batches:
-            row, stay = column(batch, ROW).to_numpy(), np.ones(len(batch), bool)
-            for p in np.unique(row >> PART_BITS).tolist():
-                if p != part:
-                    part, gone = p, tables.of(p)[0]
-                stay &= ~np.isin(row, gone)
-            yield batch.filter(pa.array(stay)).select(names)
-
-    return rows.mapInArrow(keep, docs.schema)
-
+            for piece in slices(batch, "text", SHARD_BYTES):
+                found = search(column(piece, "text").cast(pa.string()), uris)
+                n_hit = np.zeros(len(piece), np.int64)
+                for t, a, b in found.runs:
+                    n_hit[t] += b - a
+                stay = (n_hit == 0) | (20 * n_hit < found.words.n)
+                stay[[t for t, m in found.best.items() if m[0] >= WINDOW]] = False
+                yield piece.filter(pa.array(stay))
+
+    return docs.mapInArrow(keep, docs.schema)

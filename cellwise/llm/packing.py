@@ -121,6 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
                         seen[stop - start] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+        tokens.forget()
 
     return only(docs, doc_id="long", text="string").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
 

@@ -99,6 +99,7 @@ def _shard_writer(tokenizer_path: str, dictionary: bytes, folder: str, end_id: i
                 offset += int(rows["size"].sum(dtype=np.int64))
                 index.append(rows)
                 out.write(b"".join(frames))
+        tokens.forget()
         if out is not None:
             table = np.concatenate(index)
             out.write(table.tobytes() + struct.pack(_FOOTER, offset, len(table), MAGIC))

@@ -78,9 +78,9 @@ class RunEncoder:
             elif kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": _LOWER_CASE}:
                 self._words, self._lower = regex.compile(_LOWER_CASE), True
         self._merger = Tokenizer(self.tokenizer.model)
-        self._reset()
+        self.forget()
 
-    def _reset(self):
+    def forget(self):
         """Forget all runs. Run k has the bytes and ids that its starts and counts name; hashes are sorted."""
         self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.bytes, self.byte_starts, self.byte_counts = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -184,7 +184,7 @@ class RunEncoder:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.counts) > _MAX_RUNS:
-            self._reset()
+            self.forget()
         raw, offsets = text_bytes(texts)
         cut = np.zeros(len(raw) + 1, bool)
         cut[:-2] = (raw[:-1] == 32) & _SOLID[raw[1:]]
@@ -214,7 +214,7 @@ _ENCODERS: dict[str, RunEncoder] = {}
 
 
 def encoder(path: str) -> RunEncoder:
-    """The process's encoder of a file: tasks that follow one another in a worker share what it has learnt."""
+    """The process's encoder of a file, which takes long to load. A task should ``forget`` at its end."""
     if path not in _ENCODERS:
         _ENCODERS[path] = RunEncoder(path)
     return _ENCODERS[path]
