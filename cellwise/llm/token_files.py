@@ -42,6 +42,8 @@ _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size"
 #: The dictionary is trained on about so many documents of at most so many bytes, chosen by hash;
 #: it changes the file size only, never the ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 16_384, 64 << 10
+#: Runs of text that a worker remembers from task to task.
+RUNS = 1_000_000
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, kind: str) -> bytes:
@@ -75,7 +77,7 @@ def id_kind(tokenizer_path: str, end_id: int) -> str:
 
 def _shard_writer(tokenizer_path: str, dictionary: bytes, folder: str, end_id: int, kind: str):
     def write(batches):
-        tokens, packer = encoder(tokenizer_path), _compressor(dictionary)
+        tokens, packer = encoder(tokenizer_path, RUNS), _compressor(dictionary)
         part = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.ids"
         out, index, offset = None, [], 8 + 32 + 1
@@ -99,7 +101,6 @@ def _shard_writer(tokenizer_path: str, dictionary: bytes, folder: str, end_id: i
                 offset += int(rows["size"].sum(dtype=np.int64))
                 index.append(rows)
                 out.write(b"".join(frames))
-        tokens.forget()
         if out is not None:
             table = np.concatenate(index)
             out.write(table.tobytes() + struct.pack(_FOOTER, offset, len(table), MAGIC))

@@ -78,6 +78,7 @@ class RunEncoder:
             elif kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": _LOWER_CASE}:
                 self._words, self._lower = regex.compile(_LOWER_CASE), True
         self._merger = Tokenizer(self.tokenizer.model)
+        self.most = _MAX_RUNS
         self.forget()
 
     def forget(self):
@@ -183,7 +184,7 @@ class RunEncoder:
         return spread(np.concatenate([ids, *whole]), starts, sizes), sizes
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.counts) > _MAX_RUNS:
+        if len(self.counts) > self.most:
             self.forget()
         raw, offsets = text_bytes(texts)
         cut = np.zeros(len(raw) + 1, bool)
@@ -213,8 +214,12 @@ def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
 _ENCODERS: dict[str, RunEncoder] = {}
 
 
-def encoder(path: str) -> RunEncoder:
-    """The process's encoder of a file, which takes long to load. A task should ``forget`` at its end."""
+def encoder(path: str, most: int = _MAX_RUNS) -> RunEncoder:
+    """The process's encoder of a file, which takes long to load; it holds ``most`` runs, some 80 bytes each.
+
+    Tasks that follow one another in a worker share what it has learnt, unless they make it ``forget``.
+    """
     if path not in _ENCODERS:
         _ENCODERS[path] = RunEncoder(path)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
