@@ -309,6 +309,12 @@ class _Solver:
             self.cover(row, start, start + n + self.spec.width - 1)
 
     def solve(self, rows: pa.Table) -> None:
+        """Whole keys. The only text of a key has no equal window in another one, and none in itself."""
+        key = rows["key"].to_numpy()
+        near = np.r_[False, key[1:] == key[:-1]]
+        rows = rows.filter(pa.array(near | np.r_[near[1:], False])).combine_chunks()
+        if not len(rows):
+            return
         n, doc, row, start = (rows[c].to_numpy().astype(np.int64) for c in ("n", "doc_id", "row", "start"))
         again = self.kernel(rows["piece"].to_pylist(), n, doc, row, start, self.spec)
         of = np.repeat(np.arange(len(n)), n)
