@@ -30,6 +30,8 @@ from .common import SideTables, column, cut, only, packed, release, slices
 from .tokens import encoder
 
 CAPACITY, _RANK_BITS = 2048, 48
+#: Runs of text that a worker remembers from task to task.
+RUNS = 1_000_000
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -107,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """Pieces of every document with their rank (``place``) among equal lengths of the partition."""
 
     def encode(batches):
-        tokens, part, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
+        tokens, part, seen = encoder(tokenizer_path, RUNS), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for some in slices(batch, "text", 2 << 20):
                 rows = []
@@ -121,7 +123,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
                         seen[stop - start] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
-        tokens.forget()
 
     return only(docs, doc_id="long", text="string").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
 
