@@ -2,8 +2,9 @@
 
 A space followed by a character that is not white space starts a new pre-token in both public
 vocabularies used here, so a text's ids are the ids of the runs between such places, in order (where the
-next character might be white space of another script, no cut is made). The tokenizers library encodes
-every distinct run; repeats are found by hash and compared by their bytes. A text that holds one of the
+next character might be white space of another script, no cut is made). So does an ASCII sign after an ASCII letter, and
+what follows a single line feed behind a printed ASCII character. The tokenizers library encodes every
+distinct run; repeats are found by hash and compared by their bytes. A text that holds one of the
 vocabulary's special tokens is encoded by the library as a whole: it takes such a token out first, as one
 id, wherever it stands. Tests hold the result against a tokenizer fresh from its file, on whole texts.
 """
@@ -26,6 +27,10 @@ _MAX_RUNS, _JOIN = 400_000, 2000
 #: Bytes that begin a character which is not white space: the others, C2 and E1 to E3, begin some that are.
 _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = _SOLID[0xC3:0xE1] = _SOLID[0xE4:] = True
+_PRINTS, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_PRINTS[33:127] = _LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = _PRINTS & ~_LETTER
+_SIGN[48:58] = False
 #: Fixed values of the two public vocabularies: how they cut a text into words before merging.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LOWER_CASE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -189,6 +194,9 @@ class RunEncoder:
         raw, offsets = text_bytes(texts)
         cut = np.zeros(len(raw) + 1, bool)
         cut[:-2] = (raw[:-1] == 32) & _SOLID[raw[1:]]
+        if self._words is not None:
+            cut[1:-1] |= _LETTER[raw[:-1]] & _SIGN[raw[1:]]
+            cut[2:-1] |= _PRINTS[raw[:-2]] & (raw[1:-1] == 10) & _SOLID[raw[2:]]
         cut[np.maximum(offsets[1:-1] - 1, 0)] = False  # no text goes on in the next one
         full = offsets[1:] > offsets[:-1]
         cut[offsets[:-1][full]] = True

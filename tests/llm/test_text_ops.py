@@ -1,6 +1,7 @@
 import collections
 import functools
 import hashlib
+import random
 import re
 import zlib
 
@@ -643,3 +644,15 @@ def test_native_plans_run_no_python(docs):
     for f in (licenses.scan, quality.base_counts):
         plan = f(docs)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cuts_at_signs_and_line_feeds_keep_the_ids(name):
+    rnd = random.Random(7)
+    parts = ["a", "don", "'s", "'stress", "Zed", " ", "  ", "\n", "\n\n", "\r\n", "\t", ".", "$$$", "<", "̸", "́", "é", "Σ", "İ", "7", "　", "漢", "</w>", "<|endoftext|>", "\"", "\x7f"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(3000)]
+    ids, counts = RunEncoder(tokenizer(name)).encode(texts)
+    whole, at = fresh(name), 0
+    for text, n in zip(texts, counts.tolist()):
+        assert ids[at : at + n].tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        at += n
