@@ -30,7 +30,7 @@ from .common import SideTables, column, cut, only, packed, release, slices
 from .tokens import encoder
 
 CAPACITY, _RANK_BITS = 2048, 48
-#: Runs of text that a worker remembers from task to task.
+#: Runs of text that a worker remembers from task to task, where it is to remember them.
 RUNS = 1_000_000
 
 
@@ -105,11 +105,12 @@ def plan_rows(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, remember: bool) -> DataFrame:
     """Pieces of every document with their rank (``place``) among equal lengths of the partition."""
 
     def encode(batches):
-        tokens, part, seen = encoder(tokenizer_path, RUNS), TaskContext.get().partitionId(), Counter()
+        tokens = encoder(tokenizer_path, RUNS) if remember else encoder(tokenizer_path)
+        part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for some in slices(batch, "text", 2 << 20):
                 rows = []
@@ -123,13 +124,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
                         seen[stop - start] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+        if not remember:
+            tokens.forget()
 
     return only(docs, doc_id="long", text="string").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Pieces of all documents with the sequence and the offset that each is packed at."""
-    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, remember: bool = False) -> DataFrame:
+    """Pieces of all documents with the sequence and the offset that each is packed at.
+
+    Workers that ``remember`` encode faster but keep ``RUNS`` runs, memory that later stages lack.
+    """
+    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, remember), "pieces")
     per_part = cut(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     by_length = Window.partitionBy("length").orderBy("part")

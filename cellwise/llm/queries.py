@@ -44,7 +44,7 @@ def op5_suffix_decontamination(spark, sf_dir):
 
 
 def op6_best_two_fit(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), remember=True)
 
 
 def op7_simhash(spark, sf_dir):
